@@ -200,7 +200,19 @@ def quality_rules(docs: DataFrame, h: float = 0.75, steps: int = 3, p: float = 1
     rules and its squared robust distance is at most the chi-square quantile ``p``.
     """
     require(docs, "doc_id", "text", "lang", "source")
-    stats = base_stats(docs.select("doc_id", "text", "lang", "source"))
+    judged = _judged(docs.select("doc_id", "text", "lang", "source"), h, steps, p, min_group)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("d2").alias("distance"), "kept")
+
+
+def quality_filter(docs: DataFrame, h: float = 0.75, steps: int = 3, p: float = 1 - 1e-9, min_group: int = 200) -> DataFrame:
+    """The rows of ``docs`` that ``quality_rules`` keeps, all columns. The texts are written once beside their statistics instead of being joined again."""
+    require(docs, "doc_id", "text", "lang", "source")
+    whole = docs.select("text", "lang", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    return _judged(whole, h, steps, p, min_group).where("kept").select("_row.*")
+
+
+def _judged(docs: DataFrame, h: float, steps: int, p: float, min_group: int) -> DataFrame:
+    stats = base_stats(docs)
     for name, e in vector().items():
         stats = stats.withColumn(name, e)
     stats = stats.withColumn("k_all", F.lit("*")).withColumn("k_lang", _part("lang")).withColumn("k_group", F.concat(_part("lang"), F.lit("\x01"), _part("source")))
@@ -222,4 +234,4 @@ def quality_rules(docs: DataFrame, h: float = 0.75, steps: int = 3, p: float = 1
     placed = stats.join(pick, "k_group", "left").join(params, "gkey", "left")
     limit = chi2_quantile(p, len(Z))
     verdict = ~F.col("base_failed") & (F.col("d2").isNull() | (F.col("d2") <= limit))
-    return _distance(placed).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("d2").alias("distance"), verdict.alias("kept"))
+    return _distance(placed).withColumn("kept", verdict)
