@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import q_decontam, q_mixing, q_near_dup, q_packing, q_quality
+from . import q_decontam, q_langid, q_mixing, q_near_dup, q_packing, q_quality
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (q_decontam, q_mixing, q_near_dup, q_packing, q_quality):
+for _module in (q_decontam, q_langid, q_mixing, q_near_dup, q_packing, q_quality):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(getattr(_module, "ORACLES", {}))
