@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import q_decontam, q_html, q_langid, q_mixing, q_near_dup, q_packing, q_quality, q_toxicity, q_warc
+from . import q_decontam, q_html, q_langid, q_licenses, q_mixing, q_near_dup, q_packing, q_quality, q_toxicity, q_warc
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (q_decontam, q_html, q_langid, q_mixing, q_near_dup, q_packing, q_quality, q_toxicity, q_warc):
+for _module in (q_decontam, q_html, q_langid, q_licenses, q_mixing, q_near_dup, q_packing, q_quality, q_toxicity, q_warc):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(getattr(_module, "ORACLES", {}))
