@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -59,8 +60,17 @@ def _bad_escape(c: Column) -> Column:
     return F.contains(F.regexp_replace(c, "%[0-9A-Fa-f]{2}", ""), F.lit("%"))
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is named there; keeps generated code small."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def is_parsable(c: Column) -> Column:
     """Whether a URL parser in the manner of RFC 3986 takes the string; the query is not looked into."""
+    return bound(c, _is_parsable)
+
+
+def _is_parsable(c: Column) -> Column:
     fragment = F.when(F.contains(c, F.lit("#")), F.regexp_extract(c, r"#([\s\S]*)", 1)).otherwise(F.lit(""))
     relative = (scheme_of(c) == "") & ~c.startswith("/")
     host = host_port_of(c)
@@ -77,7 +87,7 @@ def is_parsable(c: Column) -> Column:
 
 
 def is_http(c: Column) -> Column:
-    return is_parsable(c) & scheme_of(c).isin("http", "https")
+    return bound(c, lambda u: _is_parsable(u) & scheme_of(u).isin("http", "https"))
 
 
 def is_js_strict(c: Column) -> Column:

@@ -10,6 +10,7 @@ its matches are known, and nothing is shuffled.
 
 from __future__ import annotations
 
+import json
 from collections import defaultdict
 from pathlib import Path
 
@@ -30,12 +31,13 @@ def _found(text: Column, words: list[str]) -> Column:
     """Distinct keywords in a text, each longest match standing for its beginnings too."""
     hits = F.array_distinct(F.regexp_extract_all(norm(text), F.lit(f"(?=({trie_pattern(words)}))"), F.lit(1)))
     longer = {w: b for w, b in beginnings(words).items() if len(b) > 1}
-    table = F.create_map(*[x for w, b in sorted(longer.items()) for x in (F.lit(w), F.array(*map(F.lit, b)))])
+    table = _lookup(longer, "array<string>")
     return F.array_distinct(F.flatten(F.transform(hits, lambda h: F.coalesce(F.try_element_at(table, h), F.array(h)))))
 
 
-def _lookup(entries: dict[str, list[Column]]) -> Column:
-    return F.create_map(*[x for k, v in sorted(entries.items()) for x in (F.lit(k), F.array(*v))])
+def _lookup(entries: dict[str, list], kind: str) -> Column:
+    """A constant map; written as JSON it is one literal to the optimiser instead of thousands."""
+    return F.from_json(F.lit(json.dumps(entries, ensure_ascii=False, sort_keys=True)), f"map<string,{kind}>")
 
 
 def _matches(text: Column, order: Column, pattern: Column) -> Column:
@@ -57,8 +59,8 @@ def secret_matches(text: Column, pack: str = "compat", path: Path = KEYWORDS, ga
     if keyed and gate:
         table = defaultdict(list)
         for r in keyed:
-            table[r.anchor].append(F.struct(F.lit(r.order).alias("o"), F.lit(r.java).alias("p")))
-        lookup = _lookup(table)
+            table[r.anchor].append({"o": r.order, "p": r.java})
+        lookup = _lookup(table, "array<struct<o:int,p:string>>")
         run = F.flatten(F.transform(_found(text, sorted(table)), lambda k: F.element_at(lookup, k)))
         parts.append(F.flatten(F.transform(run, lambda r: _matches(text, r["o"], r["p"]))))
     elif keyed:
@@ -74,8 +76,8 @@ def classify(match: Column, pack: str = "compat", path: Path = KEYWORDS) -> Colu
     table = defaultdict(list)
     for c in every:
         if c.anchor is not None:
-            table[c.anchor].append(F.struct(F.lit(c.order).alias("o"), F.lit(c.label).alias("l"), F.lit(c.java).alias("p")))
-    lookup = _lookup(table)
+            table[c.anchor].append({"o": c.order, "l": c.label, "p": c.java})
+    lookup = _lookup(table, "array<struct<o:int,l:string,p:string>>")
     named = F.flatten(F.transform(_found(match, sorted(table)), lambda k: F.element_at(lookup, k)))
     named = F.transform(F.filter(named, lambda c: F.rlike(match, c["p"])), lambda c: F.struct(c["o"].alias("o"), c["l"].alias("l")))
     first = F.array_min(F.concat(F.filter(F.array(*plain), lambda c: c.isNotNull()), named))
