@@ -29,7 +29,7 @@ def mask_header(name: Column, value: Column) -> Column:
     raw = value.cast("binary")
 
     def part(start: Column, size: Column) -> Column:
-        return F.decode(F.substring(raw, start, size), "UTF-8")
+        return F.make_valid_utf8(F.substring(raw, start, size).cast("string"))
 
     hidden = F.when(n <= 8, F.repeat(F.lit("*"), n)).otherwise(F.concat(part(F.lit(1), F.lit(4)), F.repeat(F.lit("*"), n - 8), part(n - 3, F.lit(4))))
     return F.when(F.lower(name).rlike(any_of(fixed.SENSITIVE_HEADERS)), hidden).otherwise(value)
@@ -37,7 +37,7 @@ def mask_header(name: Column, value: Column) -> Column:
 
 def shorten(text: Column, most: int) -> Column:
     """At most ``most`` bytes, the last three of a cut text being dots; a cut within a character drops it."""
-    head = F.decode(F.substring(text.cast("binary"), F.lit(1), F.lit(most - 3)), "UTF-8")
+    head = F.make_valid_utf8(F.substring(text.cast("binary"), F.lit(1), F.lit(most - 3)).cast("string"))
     return F.when(F.octet_length(text) <= most, text).otherwise(F.concat(F.regexp_replace(head, "\\x{FFFD}+\\z", ""), F.lit("...")))
 
 

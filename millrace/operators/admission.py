@@ -56,7 +56,7 @@ def admit(fetches: DataFrame) -> DataFrame:
     """``fetches`` (url, status, content_type, content_disposition, content_length, body, error) with content, error, skipped and skip_reason."""
     c = F.col
     body = F.substring(c("body").cast("binary"), 1, BODY_LIMIT)
-    text = F.decode(body, "UTF-8")
+    text = F.make_valid_utf8(body.cast("string"))
     out = fetches.withColumn("_e", fetch_error(c("url"), c("status"), c("content_type"), c("error")))
     reason = F.when(c("_e") == "", skip_reason(c("url"), c("status"), c("content_type"), c("content_disposition"), c("content_length"), c("body")))
     out = out.withColumn("skip_reason", reason)

@@ -56,7 +56,8 @@ IRREGULAR = [
     (738, ["eyJ"], r"(?i)Bearer[\t\n\f\r ]*eyJ[a-zA-Z0-9_-]+\.[a-zA-Z0-9_-]+\.[a-zA-Z0-9_-]+", None),
 ]
 
-# The cases that come before those of the keywords (case number, pattern, label), and that of rule 731.
+# The cases that come before those of the keywords (case number, pattern, label), and those of irregular
+# rules (case number, rule number, label).
 FIRST_CASES = [
     (758, "Bearer", "authorization custom"),
     (760, "AIza", "Google Maps API"),
@@ -64,7 +65,7 @@ FIRST_CASES = [
     (764, "[0-9a-f]{32}-us", "Algolia"),
     (766, r"(?i)Bearer[\t\n\f\r ]*eyJ[a-zA-Z0-9_-]+\.[a-zA-Z0-9_-]+\.[a-zA-Z0-9_-]+", "Authorization"),
 ]
-AIRTABLE_CASE = (2144, 731, "air")
+IRREGULAR_CASES = [(786, 42, "zendesk"), (2144, 731, "air")]
 UNKNOWN = "Unknown Secret"
 
 
@@ -128,9 +129,9 @@ def rules(pack: str = "compat", path: Path = KEYWORDS) -> list[Rule]:
 def cases(pack: str = "compat", path: Path = KEYWORDS) -> list[Case]:
     """The classifier's cases in order; the first that occurs in a match gives its label."""
     out = [Case(n, None, _java(p), p, label) for n, p, label in FIRST_CASES]
-    number, rule, label = AIRTABLE_CASE
-    air = next(p for n, _, p, _ in IRREGULAR if n == rule)
-    out.append(Case(number, None, _java(air), air, label))
+    for number, rule, label in IRREGULAR_CASES:
+        p = next((i if pack == "intended" and i else c) for n, _, c, i in IRREGULAR if n == rule)
+        out.append(Case(number, None, _java(p), p, label))
     seen = set()
     for _, keyword, case in keywords(path):
         if case is not None and case not in seen:
