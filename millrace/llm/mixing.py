@@ -5,7 +5,7 @@ cells are raked: in turn for each dimension they are multiplied so that its marg
 meets the target, until all marginals hold together. The ratio of a cell's raked to
 its own tokens, scaled to the token budget, is the probability with which each of its
 documents is drawn; draws are by a hash of doc_id, so a run can be repeated. All of
-it is aggregations and equi-joins over the cells, whose number is bounded by the
+it is aggregations and windows over the cells, whose number is bounded by the
 combinations of the dimensions and not by the documents.
 
 Defined results
@@ -19,7 +19,7 @@ Defined results
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import require, words, written
@@ -57,15 +57,16 @@ def _keys(docs: DataFrame) -> DataFrame:
 
 
 def rake(cells: DataFrame, targets: list[DataFrame], sweeps: int = SWEEPS) -> DataFrame:
-    """``cells`` (_k0.., tokens) with ``raked``: tokens whose marginals follow ``targets`` (_k<i>, share)."""
+    """``cells`` (_k0.., tokens) with ``raked``: tokens whose marginals follow ``targets`` (_k<i>, goal)."""
     now = cells.withColumn("raked", F.col("tokens"))
-    for _ in range(sweeps):
-        for i, target in enumerate(targets):
-            k = f"_k{i}"
-            total = now.groupBy(k).agg(F.sum("raked").alias("_sum"))
-            factor = total.join(target, k, "left").select(k, F.when(F.col("_sum") > 0, F.coalesce("goal", F.lit(0.0)) / F.col("_sum")).otherwise(F.lit(0.0)).alias("_f"))
-            now = now.join(factor, k).withColumn("raked", F.col("raked") * F.col("_f")).drop("_f")
-        now = written(now, "raked")
+    for i, target in enumerate(targets):
+        now = now.join(target.select(f"_k{i}", F.col("goal").alias(f"_g{i}")), f"_k{i}", "left")
+    for sweep in range(sweeps):
+        for i in range(len(targets)):
+            total = F.sum("raked").over(Window.partitionBy(f"_k{i}"))
+            now = now.withColumn("raked", F.when(total > 0, F.col("raked") * (F.coalesce(f"_g{i}", F.lit(0.0)) / total)).otherwise(F.lit(0.0)))
+        if sweep % 4 == 3 or sweep == sweeps - 1:
+            now = written(now, "raked")
     return now
 
 
@@ -115,7 +116,9 @@ def mixing_weights(docs: DataFrame, targets: list[DataFrame] | None = None, alph
 def mixed(docs: DataFrame, targets: list[DataFrame] | None = None, alpha: float = ALPHA, budget: float = BUDGET, sweeps: int = SWEEPS, seed: int = 1) -> DataFrame:
     """The drawn rows of ``docs``, all columns."""
     require(docs, "doc_id", "text", "source", "lang")
-    keyed = _keys(with_tokens(docs))
-    p = cell_probabilities(keyed.select("_tokens", "_k0", "_k1", "_k2"), targets, alpha, budget, sweeps)
+    own = [c for c in ("doc_id", "text", "source", "lang", "topic") if c in docs.columns]
+    whole = docs.select(*own, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    keyed = _keys(with_tokens(whole)).select("doc_id", "_tokens", "_k0", "_k1", "_k2", "_row")
+    p = cell_probabilities(keyed.drop("_row"), targets, alpha, budget, sweeps)
     out = keyed.join(p, ["_k0", "_k1", "_k2"]).where(draw(F.col("doc_id"), seed) < F.col("probability"))
-    return out.select(*docs.columns)
+    return out.select("_row.*")
