@@ -49,10 +49,12 @@ TAG_WEIGHT = {"article": 3.0, "main": 2.0, "nav": -7.0, "footer": -6.0, "aside":
 INNER = {"header": -0.5, "footer": -4.0}
 ROLE_WEIGHT = {"main": 2.0, "article": 3.0, "navigation": -7.0, "banner": -6.0, "contentinfo": -6.0, "complementary": -7.0, "search": -7.0, "dialog": -7.0, "alertdialog": -7.0, "alert": -6.0, "form": -7.0, "menu": -7.0, "menubar": -7.0, "tooltip": -6.0, "status": -5.0}
 NAMES = re.compile(
-    r"(?:^|[\s_-])(?:(?P<bad>ads?|adverts?|advertisements?|advertising|adsense|adslot|banners?|sponsors?|sponsored|promos?|promotions?|promoted|cookies?|consent|gdpr|notices?|alerts?|popups?|pop|modals?|overlay|lightbox|newsletters?|subscri(?:be|ption)|signup|shar(?:e|ing)|social|side|sidebars?|menus?|menubar|nav|navbars?|navigation|breadcrumbs?|footers?|foot|masthead|topbar|toolbar|comments?|commentlist|disqus|discussion|replies|reply|respond|related|recommend(?:ed|ations?)?|more|trending|popular|copyright|legal|disclaimer|login|search|widgets?|pagination|pager|tags?|tagcloud|skip|hidden|toc|rating|feedback|survey|outbrain|taboola|dfp|gpt)|(?P<head>headers?|head)|(?P<good>articles?|content|post|entry|story|body|main|text|prose))(?=$|[\s_-])",
+    r"(?:^|[\s_-])(?:(?P<bad>ads?|adverts?|advertisements?|advertising|adsense|adslot|banners?|sponsors?|sponsored|promos?|promotions?|promoted|cookies?|consent|gdpr|notices?|alerts?|popups?|pop|modals?|overlay|lightbox|newsletters?|subscri(?:be|ption)|signup|shar(?:e|ing)|social|side|sidebars?|menus?|menubar|nav|navbars?|navigation|breadcrumbs?|footers?|foot|masthead|topbar|toolbar|comments?|commentlist|disqus|discussion|replies|reply|respond|responses?|reviews?|related|recommend(?:ed|ations?)?|more|trending|popular|copyright|legal|disclaimer|login|search|widgets?|pagination|pager|tags?|tagcloud|skip|hidden|toc|rating|feedback|survey|outbrain|taboola|dfp|gpt)|(?P<head>headers?|head)|(?P<good>articles?|content|post|entry|story|body|main|text|prose))(?=$|[\s_-])",
     re.I,
 )
 CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
+#: Names that say something of the whole layout and not of the element.
+LAYOUT = re.compile(r"(?:^|(?<=\s))(?:has|with|without|no|is|layout)[-_]\S+", re.I)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -81,7 +83,7 @@ def _weigh(node: Node, attributes: str) -> None:
                 continue
             name, value = m.group(1).lower(), next((g for g in m.groups()[1:4] if g is not None), "")
             if name in ("class", "id"):
-                marks = {k for x in NAMES.finditer(CAMEL.sub("-", value)) for k, v in x.groupdict().items() if v}
+                marks = {k for x in NAMES.finditer(LAYOUT.sub("", CAMEL.sub("-", value))) for k, v in x.groupdict().items() if v}
                 if "bad" in marks:
                     own = min(own, -6.5)
                 elif "head" in marks:

@@ -38,6 +38,7 @@ PAGES = [
     ("<article><p>Cut off text that ends in an entity &am", "Cut off text that ends in an entity &am"),
     ("<article><p>Cut off in a tag <a href='x", "Cut off in a tag"),
     ("<article><p>A stray < sign and 1 < 2 here.</p><!-- <p>no</p> --></article>", "A stray < sign and 1 < 2 here."),
+    ('<div class="page has-sidebar"><main><p>Text beside a sidebar, some words.</p></main><div class="reader-comments"><p>First, I say, of all of the readers here!</p></div></div>', "Text beside a sidebar, some words."),
     ('<article><p>Long <a href="x">link</a> text.</p><p>Same.</p><p>Same.</p></article>', "Long link text.\nSame.\nSame."),
 ]
 
