@@ -1,6 +1,6 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine on a block-max inverted index.
 
-Terms are words and word beginnings. Toxicity shows in a few words of a text, so the
+Terms are words, word beginnings, and both where they are dense. Toxicity shows in a few words of a text, so the
 vector space is that of the terms that speak for the label: those with a ratio of
 document frequencies of at least ``RATIO`` and a significant difference among the
 learned rows. A text is held against the labelled examples by exact cosine of its
@@ -45,7 +45,9 @@ BLOCK = 64
 #: Lengths of the word beginnings that are terms.
 BEGINNINGS = (4, 5, 6, 7, 8)
 #: Least document frequency among toxic examples, least ratio of rates, least z value of a term, and most terms.
-LEAST, RATIO, Z_LEAST, TERMS = 4, 6.0, 4.0, 20_000
+LEAST, RATIO, Z_LEAST, TERMS = 4, 6.0, 8.0, 20_000
+#: A term that occurs twice or more, and once in so many words, counts as its dense form too.
+DENSE = 60
 WORD = re.compile(r"\w+")
 
 
@@ -57,26 +59,39 @@ def terms_of(word: str) -> list[str]:
     return [word, *(word[:k] + "*" for k in BEGINNINGS if len(word) >= k)]
 
 
+def is_dense(n: int, words: int) -> bool:
+    return n >= 2 and DENSE * n >= words
+
+
 class Vocabulary:
-    """Chosen terms; what a word adds is kept, up to a bounded number of words."""
+    """Chosen terms; what a word adds is kept, up to a bounded number of words. The dense form of a term has a '!' at its end."""
 
     KEEP = 500_000
 
     def __init__(self, ids: dict[str, int]):
         self.ids = ids
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.bases = {t.removesuffix("!") for t in ids}
+        self.memo: dict[str, tuple[str, ...]] = {}
 
     def counts(self, text: object) -> dict[int, int]:
-        out: dict[int, int] = {}
-        memo = self.memo
-        for w, n in word_counts(text).items():
+        found: dict[str, int] = {}
+        memo, words = self.memo, word_counts(text)
+        for w, n in words.items():
             known = memo.get(w)
             if known is None:
                 if len(memo) >= self.KEEP:
                     memo.clear()
-                known = memo[w] = tuple(self.ids[t] for t in terms_of(w) if t in self.ids)
+                known = memo[w] = tuple(t for t in terms_of(w) if t in self.bases)
             for t in known:
-                out[t] = out.get(t, 0) + n
+                found[t] = found.get(t, 0) + n
+        if not found:
+            return {}
+        total, out = words.total(), {}
+        for t, n in found.items():
+            if t in self.ids:
+                out[self.ids[t]] = n
+            if t + "!" in self.ids and is_dense(n, total):
+                out[self.ids[t + "!"]] = n
         return out
 
 
@@ -200,8 +215,15 @@ def choose_terms(sample: DataFrame) -> dict[str, int]:
         counts: dict[str, list[int]] = {}
         for b in batches:
             for text, y in zip(b["text"], b["toxic"], strict=True):
-                for t in {t for w in word_counts(text) for t in terms_of(w)}:
+                words, own = word_counts(text), Counter()
+                for w, n in words.items():
+                    for t in terms_of(w):
+                        own[t] += n
+                total = words.total()
+                for t, n in own.items():
                     counts.setdefault(t, [0, 0])[int(y)] += 1
+                    if is_dense(n, total):
+                        counts.setdefault(t + "!", [0, 0])[int(y)] += 1
         yield pd.DataFrame([(t, a, b) for t, (a, b) in counts.items()], columns=["term", "clean", "toxic"])
 
     n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
