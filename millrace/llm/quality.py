@@ -167,6 +167,15 @@ def _part(c: str) -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
 
 
+#: Groups up to which their estimates are broadcast (at most about 300 bytes each); beyond, Spark joins by shuffle and splits hot groups.
+BROADCAST_GROUPS = 10_000
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """``df``, a row for each group, to be joined without moving the rows of the groups if its size allows it."""
+    return F.broadcast(df) if df.count() <= BROADCAST_GROUPS else df
+
+
 def fit_mcd(rows: DataFrame, h: float = 0.75, steps: int = 3) -> DataFrame:
     """MCD centre and Cholesky factor for each ``gkey`` of ``rows`` (gkey and the statistic vector).
 
@@ -174,8 +183,8 @@ def fit_mcd(rows: DataFrame, h: float = 0.75, steps: int = 3) -> DataFrame:
     ``steps`` concentration steps: the share ``h`` of rows nearest by the present
     estimate gives the next one.
     """
-    med = rows.groupBy("gkey").agg(*[F.percentile_approx(z, 0.5, 1000).alias(f"m_{i}") for i, z in enumerate(Z)])
-    mad = rows.join(med, "gkey").groupBy("gkey").agg(
+    med = written(rows.groupBy("gkey").agg(*[F.percentile_approx(z, 0.5, 1000).alias(f"m_{i}") for i, z in enumerate(Z)]), "medians")
+    mad = rows.join(_small(med), "gkey").groupBy("gkey").agg(
         *[F.first(f"m_{i}").alias(f"m_{i}") for i in range(len(Z))],
         *[F.percentile_approx(F.abs(F.col(z) - F.col(f"m_{i}")), 0.5, 1000).alias(f"d_{i}") for i, z in enumerate(Z)],
     )
@@ -186,9 +195,9 @@ def fit_mcd(rows: DataFrame, h: float = 0.75, steps: int = 3) -> DataFrame:
     )
     params = written(start, "mcd")
     for _ in range(steps):
-        near = _distance(rows.join(params, "gkey")).select("gkey", *Z, "d2")
-        limit = near.groupBy("gkey").agg(F.percentile_approx("d2", h, 1000).alias("limit"))
-        kept = near.join(limit, "gkey").where(F.col("d2") <= F.col("limit"))
+        near = _distance(rows.join(_small(params), "gkey")).select("gkey", *Z, "d2")
+        limit = written(near.groupBy("gkey").agg(F.percentile_approx("d2", h, 1000).alias("limit")), "limits")
+        kept = near.join(_small(limit), "gkey").where(F.col("d2") <= F.col("limit"))
         params = written(_estimate(_moments(kept), consistency(h, len(Z))), "mcd")
     return params
 
@@ -228,10 +237,10 @@ def _judged(docs: DataFrame, h: float, steps: int, p: float, min_group: int) ->
         pick = pick.join(large.select(F.col("gkey").alias(k), F.lit(True).alias(f"has_{k}")), k, "left")
     pick = written(pick.select("k_group", F.coalesce(*[F.when(F.col(f"has_{k}"), F.col(k)) for k in levels]).alias("gkey")), "quality-pick")
     used = pick.select("gkey").where(F.col("gkey").isNotNull()).distinct()
-    rows = fit.select(F.explode(F.array_distinct(F.array(*levels))).alias("gkey"), *Z).join(used, "gkey", "left_semi")
+    rows = fit.select(F.explode(F.array_distinct(F.array(*levels))).alias("gkey"), *Z).join(_small(written(used, "quality-used")), "gkey", "left_semi")
     params = fit_mcd(rows, h, steps)
 
-    placed = stats.join(pick, "k_group", "left").join(params, "gkey", "left")
+    placed = stats.join(_small(pick), "k_group", "left").join(_small(params), "gkey", "left")
     limit = chi2_quantile(p, len(Z))
     verdict = ~F.col("base_failed") & (F.col("d2").isNull() | (F.col("d2") <= limit))
     return _distance(placed).withColumn("kept", verdict)
