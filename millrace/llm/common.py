@@ -26,9 +26,24 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Folders that this process has made, oldest first.
+made: list[str] = []
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder."""
-    return f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex}"
+    made.append(f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex}")
+    return made[-1]
+
+
+def drop_folders(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Deletes the folders made after the first ``since``, but for the last ``keep``: for callers whose results no longer hang on them."""
+    gone = made[since : len(made) - keep]
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for folder in gone:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+    del made[since : len(made) - keep]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -8,10 +8,11 @@ tree over the free capacities. Nothing is shuffled: a block is a part of an inpu
 partition, and a task that is run again makes the same rows.
 
 Files of a shard (little-endian): ``ids`` (rows x length, uint16, or uint32 where
-the vocabulary needs it; ``pad_id`` beyond a row's tokens), ``positions`` (same
-shape; 0 again at each piece's first token), ``cu_seqlens`` (int32; for each row 0
-and the end of every piece) and ``row_splits`` (int64; where each row's part of
-``cu_seqlens`` begins).
+the vocabulary needs it; ``pad_id`` beyond a row's tokens), ``resets`` (rows x
+ceil(length / 8), one bit a token, the first token in the highest bit: set where
+positions begin again at 0, that is at each piece's first token and at the first pad),
+``cu_seqlens`` (int32; for each row 0 and the end of every piece) and ``row_splits``
+(int64; where each row's part of ``cu_seqlens`` begins).
 
 Defined results
 ---------------
@@ -165,19 +166,18 @@ def write_matrices(rows: DataFrame, folder: str, length: int = LENGTH, pad_id: i
                 if len(full):
                     kind = "<u2" if pad_id < 1 << 16 else "<u4"
                     ids = np.full((len(full), length), pad_id, dtype=kind)
-                    positions = np.zeros((len(full), length), dtype="<u2" if length <= 1 << 16 else "<u4")
+                    resets = np.zeros((len(full), length), dtype=bool)
                     ends = []
                     for k, (raw, cu) in enumerate(zip(full["ids"], full["cu_seqlens"], strict=True)):
                         ids[k, : cu[-1]] = np.frombuffer(raw, dtype=kind)
-                        for a, z in zip(cu[:-1], cu[1:], strict=True):
-                            positions[k, a:z] = np.arange(z - a)
+                        resets[k, [c for c in cu if c < length]] = True
                         ends.append(np.asarray(cu, dtype="<i4"))
                     name = f"{folder}/{shard}-{int(full['row'].iloc[0]):08d}"
                     store.put(f"{name}.ids", ids.tobytes())
-                    store.put(f"{name}.positions", positions.tobytes())
+                    store.put(f"{name}.resets", np.packbits(resets, axis=1).tobytes())
                     store.put(f"{name}.cu_seqlens", np.concatenate(ends).tobytes())
                     store.put(f"{name}.row_splits", np.cumsum([0, *map(len, ends)]).astype("<i8").tobytes())
-                    meta = {"rows": len(full), "length": length, "ids": kind, "positions": positions.dtype.str, "pad_id": pad_id}
+                    meta = {"rows": len(full), "length": length, "ids": kind, "pad_id": pad_id}
                     store.put(f"{name}.json", json.dumps(meta).encode())
                 out = []
                 for row, cu, pieces in zip(own["row"], own["cu_seqlens"], own["pieces"], strict=True):
@@ -190,6 +190,13 @@ def write_matrices(rows: DataFrame, folder: str, length: int = LENGTH, pad_id: i
     return rows.mapInPandas(run, "shard string, row bigint, offset bigint, doc_id bigint, piece int, start bigint, length int")
 
 
+def _positions(raw: bytes, meta: dict) -> np.ndarray:
+    """The position of every token, from the bits where positions begin again."""
+    bits = np.unpackbits(np.frombuffer(raw, dtype=np.uint8).reshape(meta["rows"], -1), axis=1, count=meta["length"]).astype(bool)
+    at = np.arange(meta["length"])
+    return at - np.maximum.accumulate(np.where(bits, at, 0), axis=1)
+
+
 def read_pieces(places: DataFrame) -> DataFrame:
     """``places`` of ``write_matrices`` with what the files hold there: n_tokens, ids_md5 and whether positions and cu_seqlens agree."""
 
@@ -199,12 +206,12 @@ def read_pieces(places: DataFrame) -> DataFrame:
         def shard(name: str) -> dict:
             if held["name"] != name:
                 held.clear()
-                for kind in ("ids", "positions", "cu_seqlens", "row_splits", "json"):
+                for kind in ("ids", "resets", "cu_seqlens", "row_splits", "json"):
                     with store.Reader(f"{name}.{kind}") as f:
                         held[kind] = f.read(0, f.size)
                 meta = json.loads(held["json"])
-                for kind in ("ids", "positions"):
-                    held[kind] = np.frombuffer(held[kind], dtype=meta[kind]).reshape(meta["rows"], meta["length"])
+                held["ids"] = np.frombuffer(held["ids"], dtype=meta["ids"]).reshape(meta["rows"], meta["length"])
+                held["positions"] = _positions(held.pop("resets"), meta)
                 held["cu_seqlens"], held["row_splits"] = np.frombuffer(held["cu_seqlens"], dtype="<i4"), np.frombuffer(held["row_splits"], dtype="<i8")
                 held["name"] = name
             return held
@@ -229,9 +236,8 @@ def read_pieces(places: DataFrame) -> DataFrame:
 def matrix(spark: SparkSession, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """ids, positions, cu_seqlens and row_splits of one shard, on the driver."""
     raw = {}
-    for kind in ("ids", "positions", "cu_seqlens", "row_splits", "json"):
+    for kind in ("ids", "resets", "cu_seqlens", "row_splits", "json"):
         with store.Reader(f"{name}.{kind}") as f:
             raw[kind] = f.read(0, f.size)
     meta = json.loads(raw["json"])
-    shape = (meta["rows"], meta["length"])
-    return np.frombuffer(raw["ids"], meta["ids"]).reshape(shape), np.frombuffer(raw["positions"], meta["positions"]).reshape(shape), np.frombuffer(raw["cu_seqlens"], "<i4"), np.frombuffer(raw["row_splits"], "<i8")
+    return np.frombuffer(raw["ids"], meta["ids"]).reshape(meta["rows"], meta["length"]), _positions(raw["resets"], meta), np.frombuffer(raw["cu_seqlens"], "<i4"), np.frombuffer(raw["row_splits"], "<i8")

@@ -53,3 +53,12 @@ def test_pipeline_stages(spark):
     packed = corpus_pipeline.STAGES[4][1](spark, docs, str(SF))
     ids = [p.doc_id for r in packed.collect() for p in r.pieces if p.piece == 0]
     assert sorted(ids) == sorted(r.doc_id for r in docs.collect())
+
+
+def test_pipeline_leaves_only_its_stages(spark):
+    from millrace.llm.common import made
+
+    before = len(made)
+    out = corpus_pipeline.run(spark, str(SF))
+    assert [m.rsplit("/", 1)[1].rsplit("-", 1)[0] for m in made[before:]] == [name for name, _ in corpus_pipeline.STAGES[:-1]]
+    assert out.count() > 0
