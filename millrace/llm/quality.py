@@ -202,7 +202,7 @@ def fit_mcd(rows: DataFrame, h: float = 0.75, steps: int = 3) -> DataFrame:
     return params
 
 
-def quality_rules(docs: DataFrame, h: float = 0.75, steps: int = 3, p: float = 1 - 1e-9, min_group: int = 200) -> DataFrame:
+def quality_rules(docs: DataFrame, h: float = 0.75, steps: int = 3, p: float = 1 - 1e-12, min_group: int = 200) -> DataFrame:
     """One row per document: the base statistics, ``base_failed``, ``distance`` (squared, null where no estimate exists) and ``kept``.
 
     ``docs`` has doc_id, text, lang and source. A row is kept if it passes the base
@@ -213,7 +213,7 @@ def quality_rules(docs: DataFrame, h: float = 0.75, steps: int = 3, p: float = 1
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("d2").alias("distance"), "kept")
 
 
-def quality_filter(docs: DataFrame, h: float = 0.75, steps: int = 3, p: float = 1 - 1e-9, min_group: int = 200) -> DataFrame:
+def quality_filter(docs: DataFrame, h: float = 0.75, steps: int = 3, p: float = 1 - 1e-12, min_group: int = 200) -> DataFrame:
     """The rows of ``docs`` that ``quality_rules`` keeps, all columns. The texts are written once beside their statistics instead of being joined again."""
     require(docs, "doc_id", "text", "lang", "source")
     whole = docs.select("text", "lang", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
