@@ -7,6 +7,7 @@ the parents at that depth, so a run can be repeated.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -18,15 +19,17 @@ from .rules import KEYWORDS
 from .scan import normalised_seeds, scan_fetched
 
 
-def crawl(seeds: DataFrame, fetches: DataFrame, deep: bool = True, max_depth: int = 3, profile: str = "deep", pack: str = "compat", domains: list[str] | None = None, rules_path: Path = KEYWORDS) -> DataFrame:
+def crawl(seeds: DataFrame, fetches: DataFrame | Callable[[DataFrame], DataFrame], deep: bool = True, max_depth: int = 3, profile: str = "deep", pack: str = "compat", domains: list[str] | None = None, rules_path: Path = KEYWORDS) -> DataFrame:
     """Scan results of the seeds (url) and, if ``deep``, of the scripts that they lead to, with depth and parent_url.
 
-    ``fetches`` holds what can be fetched, a row per url; a URL without a row gives an error result.
+    ``fetches`` holds what can be fetched, a row per url; a URL without a row gives an error result. It may also
+    be a function that fetches a level's table of URLs.
     """
     frontier = normalised_seeds(seeds).select("url").distinct().select("url", F.lit("").alias("parent_url"))
     visited, results = None, None
     for depth in range(max_depth + 1 if deep else 1):
-        got = frontier.join(fetches, "url", "left").withColumn("error", F.when(F.col("status").isNull(), F.lit("not fetched")).otherwise(F.col("error"))).withColumn("status", F.coalesce("status", F.lit(200)))
+        table = cut(fetches(frontier)) if callable(fetches) else fetches
+        got = frontier.join(table, "url", "left").withColumn("error", F.when(F.col("status").isNull() & (F.coalesce("error", F.lit("")) == ""), F.lit("not fetched")).otherwise(F.col("error"))).withColumn("status", F.coalesce("status", F.lit(200)))
         level = scan_fetched(got, profile, pack, domains, rules_path).join(frontier, "url").withColumn("depth", F.lit(depth))
         level = cut(level)
         results = level if results is None else results.unionByName(level)

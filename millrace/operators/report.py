@@ -7,7 +7,8 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.url import is_absolute
+from ..functions.headers import format_secret, shorten
+from ..functions.url import is_absolute, is_js_strict
 
 
 def summarise(results: DataFrame) -> DataFrame:
@@ -61,6 +62,33 @@ def json_report(results: DataFrame, deep: bool = False, max_depth: int = 3, most
     return text.replace("<", "\\u003c").replace(">", "\\u003e").replace("&", "\\u0026")
 
 
+def console_report(results: DataFrame, most: int = 1000) -> str:
+    """What a terminal shows of each result: header with depth and parent, paths with a mark for scripts, secrets, counts; then the totals."""
+    totals = summarise(results).first()
+    if totals["total_urls"] > most:
+        raise ValueError(f"{totals['total_urls']} results; show() or the writers take any number")
+    for name, value in (("depth", F.lit(0)), ("parent_url", F.lit(""))):
+        if name not in results.columns:
+            results = results.withColumn(name, value)
+    shown = results.orderBy("depth", "url").select(
+        "*",
+        F.transform("paths", lambda p: F.concat(shorten(p, 70), F.when(is_js_strict(p), F.lit(" [JS]")).otherwise(F.lit("")))).alias("_paths"),
+        F.transform("secrets", format_secret).alias("_secrets"),
+    )
+    lines = []
+    for r in shown.collect():
+        pad = "  " * r["depth"]
+        lines += ["-" * 80, f"{pad}{r['url']}" + (f" [JS] (depth: {r['depth']})" if r["depth"] else "")]
+        lines += [f"{pad}  from: {r['parent_url']}"] if r["parent_url"] else []
+        if r["error"] or r["skipped"]:
+            lines.append(f"{pad}  {r['error'] or r['skip_reason']}")
+            continue
+        lines += [f"{pad}  -> {p}" for p in r["_paths"]] + [f"{pad}  !! {s}" for s in r["_secrets"]]
+        lines.append(f"{pad}  paths: {r['path_count']} | secrets: {r['secret_count']}")
+    lines += ["=" * 80, f"URLs: {totals['total_urls']} | ok: {totals['successful_scans']} | skipped: {totals['skipped_scans']} | failed: {totals['failed_scans']} | paths: {totals['total_paths']} | secrets: {totals['total_secrets']}"]
+    return "\n".join(lines) + "\n"
+
+
 def text_report(results: DataFrame, most: int = 100_000) -> str:
     """The head profile's report: every URL with its paths, the secrets by URL, and the totals."""
     totals = summarise(results).first()

@@ -18,6 +18,24 @@ def from_table(df: DataFrame, url: str, body: str) -> DataFrame:
     )
 
 
+def _get(url: str, headers: dict, timeout: float, limit: int) -> tuple:
+    """One GET without retry, as a row of SCHEMA; any failure is the resource's result."""
+    import urllib.error
+    import urllib.request
+
+    try:
+        request = urllib.request.Request(url, headers=headers)
+        try:
+            response = urllib.request.urlopen(request, timeout=timeout)
+        except urllib.error.HTTPError as e:
+            response = e
+        with response:
+            h = response.headers
+            return (url, response.status, h.get("Content-Type"), h.get("Content-Disposition"), h.get("Content-Length"), response.read(limit), "")
+    except Exception as e:
+        return (url, None, None, None, None, None, str(e) or type(e).__name__)
+
+
 class _Urls(InputPartition):
     def __init__(self, urls: list[str]):
         self.urls = urls
@@ -35,21 +53,8 @@ class _HttpReader(DataSourceReader):
         return [_Urls(self.urls[i :: self.parts]) for i in range(min(self.parts, len(self.urls)))]
 
     def read(self, partition: _Urls):
-        import urllib.error
-        import urllib.request
-
         for url in partition.urls:
-            try:
-                request = urllib.request.Request(url, headers=self.headers)
-                try:
-                    response = urllib.request.urlopen(request, timeout=self.timeout)
-                except urllib.error.HTTPError as e:
-                    response = e
-                with response:
-                    h = response.headers
-                    yield (url, response.status, h.get("Content-Type"), h.get("Content-Disposition"), h.get("Content-Length"), response.read(self.limit), "")
-            except Exception as e:  # any failure is the resource's result, not the job's
-                yield (url, None, None, None, None, None, str(e) or type(e).__name__)
+            yield _get(url, self.headers, self.timeout, self.limit)
 
 
 class HttpSource(DataSource):
@@ -66,6 +71,21 @@ class HttpSource(DataSource):
         return _HttpReader(dict(self.options))
 
 
+def http(urls: DataFrame, headers: dict[str, str] | None = None, timeout: float = 30, limit: int = 50 * 1024 * 1024) -> DataFrame:
+    """Fetches a table of URLs (url) in its partitions; a row for each, failures too."""
+    own = {"User-Agent": AGENT} | (headers or {})
+
+    def run(batches):
+        import pandas as pd
+
+        for b in batches:
+            for url in b["url"]:  # a row at a time: bodies are large
+                row = pd.DataFrame([_get(url, own, timeout, limit)], columns=[c.split()[0] for c in SCHEMA.split(", ")])
+                yield row.astype({"status": "Int32"})
+
+    return urls.select("url").mapInPandas(run, SCHEMA)
+
+
 def fetch(spark: SparkSession, urls: list[str], headers: dict[str, str] | None = None, timeout: float = 30, partitions: int = 8) -> DataFrame:
     """Fetches a list of URLs; each response is a row, and so is each failure."""
     spark.dataSource.register(HttpSource)

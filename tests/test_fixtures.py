@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from millrace import __main__ as cli
 from millrace.functions import headers as H
 from millrace.functions import text as T
 from millrace.functions import url as U
@@ -99,6 +100,19 @@ def test_rule_tables():
     assert trie_pattern(["ab", "abc", "x"]) == "(?:ab(?:c)?|x)"
 
 
+def test_every_pattern_compiles(spark):
+    import duckdb
+
+    for pack in ("compat", "intended"):
+        every = [*rules(pack), *cases(pack)]
+        df = spark.createDataFrame([(r.java,) for r in every], "p string")
+        assert df.where(F.rlike(F.lit("nothing here"), F.col("p"))).count() == 0
+        con = duckdb.connect()
+        con.execute("create table t (p varchar)")
+        con.executemany("insert into t values (?)", [(r.re2,) for r in every])
+        assert con.execute("select count(*) from t where regexp_matches('nothing here', p)").fetchone()[0] == 0
+
+
 def test_urls(spark):
     assert each(spark, ["https://h/a\\\\", "https://", " x\\ ", None, ""], U.clean_url) == ["https://h/a", "", "x\\", "", ""]
     js = ["/a.js", "/a.js?v=1", "/a.JS", "/a.js#x", "/a.mjs", "/javascript/a", "/a.js\n"]
@@ -189,7 +203,7 @@ def test_seeds(spark, tmp_path):
     assert [r.url for r in scan.normalised_seeds(seeds.union(got, got)).collect()] == ["https://h.example/a"] * 2
 
 
-def test_http_source(spark):
+def test_http_source_and_command_line(spark, tmp_path):
     import threading
     from http.server import BaseHTTPRequestHandler, HTTPServer
 
@@ -207,6 +221,13 @@ def test_http_source(spark):
     threading.Thread(target=server.serve_forever, daemon=True).start()
     root = f"http://127.0.0.1:{server.server_port}"
     got = scan.scan_fetched(fetched.fetch(spark, [f"{root}/ok", f"{root}/no", "http://127.0.0.1:1/x"], {"X-Test": "t"}, timeout=5)).collect()
+    frontier = seeds.from_urls(spark, [f"{root}/ok"])
+    live = crawl.crawl(frontier, lambda f: fetched.http(f, {"X-Test": "x.js"}), max_depth=1).collect()
+    assert {(r.url, r.depth, r.error) for r in live} == {(f"{root}/ok", 0, ""), (f"{root}/from/x.js", 1, "HTTP 404: 404 Not Found")}
+    base = str(tmp_path / "out.json")
+    said = cli.main(["-u", f"{root}/ok", "-o", base, "-H", "X-Test: a.js", "-deep", "-depth", "1", "-ad", "example.com"], lines=["# no", "h.ex", f"{root}/ok"])
+    assert "[JS]" in said and "failed: 1" in said and json.load(open(base + ".json"))["total_urls"] == 2
+    assert open(base + ".txt").read().splitlines() == [f"{root}/ok", "/from/a.js"]
     server.shutdown()
     by = {r.url: r for r in got}
     assert by[f"{root}/ok"].paths == ["/from/t"] and by[f"{root}/no"].error == "HTTP 404: 404 Not Found" and by["http://127.0.0.1:1/x"].error
