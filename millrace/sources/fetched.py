@@ -18,6 +18,11 @@ def from_table(df: DataFrame, url: str, body: str) -> DataFrame:
     )
 
 
+def save_bucketed(df: DataFrame, table: str, buckets: int) -> None:
+    """Saves fetched resources as a table bucketed and sorted by url: the joins of a crawl then leave the bodies where they are."""
+    df.write.mode("overwrite").bucketBy(buckets, "url").sortBy("url").saveAsTable(table)
+
+
 def _get(url: str, headers: dict, timeout: float, limit: int) -> tuple:
     """One GET without retry, as a row of SCHEMA; any failure is the resource's result."""
     import urllib.error
