@@ -82,5 +82,7 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESH
 
 def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE) -> DataFrame:
     """``docs`` without the documents that contain an item; rows with a null doc_id stay only if none of them does."""
-    bad = contained_items(docs, items, threshold, n).select(F.col("doc_id").alias("_bad")).distinct()
+    bad = written(contained_items(docs, items, threshold, n).select(F.col("doc_id").alias("_bad")).distinct(), "contaminated")
+    if bad.count() <= BROADCAST_ROWS:
+        bad = F.broadcast(bad)
     return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
