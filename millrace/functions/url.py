@@ -15,9 +15,38 @@ UNICODE_SPACE = r"\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2
 JS_FILE = r"(?d)\.js(\?.*)?\z"
 
 
+def trie_pattern(words: list[str]) -> str:
+    """A pattern that matches the longest of the words that starts at a place, by shared beginnings.
+
+    An alternation is tried branch by branch; where many characters may come next they
+    are looked at in groups first, so a place where no word starts costs few tests.
+    """
+    root: dict = {}
+    for w in words:
+        node = root
+        for ch in w:
+            node = node.setdefault(ch, {})
+        node[""] = {}
+
+    def build(node: dict) -> str:
+        parts = [(ch, re.escape(ch) + build(child)) for ch, child in sorted(node.items()) if ch]
+        if not parts:
+            return ""
+        if len(parts) > 6:
+            step = round(len(parts) ** 0.5)
+            groups = [parts[i : i + step] for i in range(0, len(parts), step)]
+            branches = [f"(?=[{''.join(re.escape(ch) for ch, _ in g)}])(?:{'|'.join(p for _, p in g)})" for g in groups]
+        else:
+            branches = [p for _, p in parts]
+        body = branches[0] if len(branches) == 1 else "(?:" + "|".join(branches) + ")"
+        return f"(?:{body})?" if "" in node else body
+
+    return build(root)
+
+
 def any_of(values: list[str]) -> str:
     """A pattern that finds any of the strings."""
-    return "|".join(re.sub(r"([^A-Za-z0-9_/=:-])", r"\\\1", v) for v in values)
+    return trie_pattern(values)
 
 
 def trim_space(c: Column) -> Column:

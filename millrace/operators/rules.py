@@ -141,25 +141,6 @@ def cases(pack: str = "compat", path: Path = KEYWORDS) -> list[Case]:
     return sorted(out, key=lambda c: c.order)
 
 
-def trie_pattern(words: list[str]) -> str:
-    """A pattern that matches the longest of the words that starts at a place, by shared beginnings."""
-    root: dict = {}
-    for w in words:
-        node = root
-        for ch in w:
-            node = node.setdefault(ch, {})
-        node[""] = {}
-
-    def build(node: dict) -> str:
-        parts = [re.escape(ch) + build(child) for ch, child in sorted(node.items()) if ch]
-        if not parts:
-            return ""
-        body = parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
-        return f"(?:{body})?" if "" in node else body
-
-    return build(root)
-
-
 def beginnings(words: list[str]) -> dict[str, list[str]]:
     """For each word the words that it starts with, itself included: what a longest match stands for."""
     every = set(words)

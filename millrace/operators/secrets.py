@@ -17,7 +17,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .rules import KEYWORDS, UNKNOWN, beginnings, cases, rules, trie_pattern
+from ..functions.url import trie_pattern
+from .rules import KEYWORDS, UNKNOWN, beginnings, cases, rules
 
 MATCH = "array<struct<rule_ord:int,match_ord:int,match:string>>"
 

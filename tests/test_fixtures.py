@@ -10,7 +10,7 @@ from millrace.functions import headers as H
 from millrace.functions import text as T
 from millrace.functions import url as U
 from millrace.operators import admission, crawl, paths, report, scan, secrets
-from millrace.operators.rules import cases, norm_keyword, rules, trie_pattern
+from millrace.operators.rules import cases, norm_keyword, rules
 from millrace.sources import fetched, seeds
 
 
@@ -97,7 +97,7 @@ def test_rule_tables():
         assert len(rules(pack)) == 730
     assert len({c.order for c in cases()}) == len(cases()) == 697
     assert norm_keyword("a~b_c-d") == "abcd"
-    assert trie_pattern(["ab", "abc", "x"]) == "(?:ab(?:c)?|x)"
+    assert U.trie_pattern(["ab", "abc", "x"]) == "(?:ab(?:c)?|x)"
 
 
 def test_every_pattern_compiles(spark):
