@@ -30,17 +30,21 @@ from pyspark.sql import functions as F
 from .common import require
 from .maxflow import label
 
-# Fixed values of HTML: elements that part text into blocks, that have no content, whose content is no text,
-# and that an opening tag closes.
+# Fixed values of HTML: elements that part text into blocks, that have no content, whose content is raw (no tag in it but
+# their own end tag), whose content has tags but no text to be shown, and that an opening tag closes.
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li main menu nav noscript ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul button textarea object video audio canvas svg".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea xmp iframe noembed noframes template svg math".split())
+RAW = frozenset("script style title textarea xmp iframe noembed noframes".split())
+UNSHOWN = frozenset("template svg annotation annotation-xml".split())
 CLOSES_P = BLOCK_TAGS - frozenset("button option optgroup object video audio canvas svg iframe noscript textarea select".split())
 PEERS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
+RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW}
+#: What changes the state within a script: '<!--' and a '<script' after it keep the next end tag from ending it.
+SCRIPT_MARK = re.compile(r"<!(?=--)|-->|<(/?)script(?=[\s/>])", re.I)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|\b(hidden)\b""")
 
 # The classifier: log-odds of content.
@@ -58,6 +62,27 @@ LAYOUT = re.compile(r"(?:^|(?<=\s))(?:has|with|without|no|is|layout)[-_]\S+", re
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
+def _raw_end(html: str, tag: str, at: int) -> int:
+    """Where the end tag of a raw element begins whose content begins at ``at``; -1 without one."""
+    if tag != "script":
+        m = RAW_END[tag].search(html, at)
+        return m.start() if m else -1
+    escaped = inner = False
+    for m in SCRIPT_MARK.finditer(html, at):
+        mark = m.group(0)
+        if mark == "<!":
+            escaped = True
+        elif mark == "-->":
+            escaped = inner = False
+        elif not m.group(1):
+            inner = escaped
+        elif inner:
+            inner = False
+        else:
+            return m.start()
+    return -1
+
+
 class Node:
     __slots__ = ("tag", "parent", "weight", "link", "number", "inside")
 
@@ -126,12 +151,15 @@ class Page:
     def _read(self, html: str) -> None:
         at, end = self.top, 0
         skip = ""
-        for m in TOKEN.finditer(html):
+        next_at = 0
+        while m := TOKEN.search(html, next_at):
+            next_at = m.end()
             if skip:
-                close = m.group(1) or m.group(4)
-                if not (close and (m.group(2) or m.group(5)).lower() == skip):
-                    continue
-                end, skip = m.end(), ""
+                tag = (m.group(2) or m.group(5) or "").lower()
+                if (m.group(1) or m.group(4)) and tag == skip:
+                    end, skip = m.end(), ""
+                elif tag in RAW and not (m.group(1) or m.group(4)) and (found := _raw_end(html, tag, m.end())) >= 0:
+                    next_at = found
                 continue
             if m.start() > end:
                 self._text(html[end : m.start()], at)
@@ -165,9 +193,17 @@ class Page:
                 at = self._close(at, PEERS[tag])
             if tag in VOID:
                 continue
-            if tag in RAW:
-                if not (attributes or "").rstrip().endswith("/"):
+            if tag in RAW or tag in UNSHOWN:
+                if (attributes or "").rstrip().endswith("/"):
+                    continue
+                if tag in UNSHOWN:
                     skip = tag
+                    continue
+                found = _raw_end(html, tag, m.end())
+                if found < 0:  # raw to the end of the page
+                    end = len(html)
+                    break
+                end = next_at = TOKEN.match(html, found).end()
                 continue
             self.count += 1
             node = Node(tag, at, self.count)

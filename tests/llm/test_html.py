@@ -51,6 +51,24 @@ def test_pages(spark):
     assert extract_text(df.limit(0)).count() == 0
 
 
+RAW_PAGES = [
+    ("<script>for(i=0;i<n;i++){f(i)}</script><p>Article text of some length.</p>", "Article text of some length."),
+    ("<p>Text that stands before.</p><SCRIPT>if(a<b&&c)d='x'</Script ><p>Text that comes after.</p>", "Text that stands before.\nText that comes after."),
+    ("<script><!-- hide\nf()</script><p>Article text of some length.</p>", "Article text of some length."),
+    ("<script><!-- <script>f()</script> g() --></script><p>Article text of some length.</p>", "Article text of some length."),
+    ("<script><!--> <script> f()</script><p>Article text of some length.</p>", "Article text of some length."),
+    ("<script>t='</scripts>';i<n</script><style>a<b{}</style><title>x <y</title><textarea>i<n <!-- </textarea><p>Article text of some length.</p>", "Article text of some length."),
+    ("<template><script>i<n;t='</template>'</script></template><p>Article text of some length.</p>", "Article text of some length."),
+    ("<p>Text that stands before.</p><script>f(i<n)<p>never closed, as browsers read it</p>", "Text that stands before."),
+    ("<p>The area is <math><mi>r</mi><mo>+</mo><mn>1</mn><annotation>r+1</annotation></math> for all of them.</p>", "The area is r+1 for all of them."),
+]
+
+
+def test_raw_elements_end_at_their_own_end_tag():
+    for html, text in RAW_PAGES:
+        assert main_text(html) == text, html
+
+
 def test_long_page():
     body = "".join(f"<p>Paragraph {i} of a very long page with words.</p>" for i in range(20_000))
     assert main_text(f"<nav>menu</nav><article>{body}</article>").count("\n") == 19_999
