@@ -36,6 +36,11 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return made[-1]
 
 
+def result_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path under the shared folder for files that are a result: not among ``made``, so never dropped."""
+    return f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex}"
+
+
 def drop_folders(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
     """Deletes the folders made after the first ``since``, but for the last ``keep``: for callers whose results no longer hang on them."""
     gone = made[since : len(made) - keep]

@@ -156,6 +156,24 @@ def packed(docs: DataFrame, length: int = LENGTH, vocabulary: str = VOCABULARY,
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, SCHEMA)
 
 
+def _put_shard(full: pd.DataFrame, name: str, length: int, pad_id: int) -> None:
+    """Writes the files of one shard from its rows, in order."""
+    kind = "<u2" if pad_id < 1 << 16 else "<u4"
+    ids = np.full((len(full), length), pad_id, dtype=kind)
+    resets = np.zeros((len(full), length), dtype=bool)
+    ends = []
+    for k, (raw, cu) in enumerate(zip(full["ids"], full["cu_seqlens"], strict=True)):
+        ids[k, : cu[-1]] = np.frombuffer(raw, dtype=kind)
+        resets[k, [c for c in cu if c < length]] = True
+        ends.append(np.asarray(cu, dtype="<i4"))
+    store.put(f"{name}.ids", ids.tobytes())
+    store.put(f"{name}.resets", np.packbits(resets, axis=1).tobytes())
+    store.put(f"{name}.cu_seqlens", np.concatenate(ends).tobytes())
+    store.put(f"{name}.row_splits", np.cumsum([0, *map(len, ends)]).astype("<i8").tobytes())
+    meta = {"rows": len(full), "length": length, "ids": kind, "pad_id": pad_id}
+    store.put(f"{name}.json", json.dumps(meta).encode())
+
+
 def write_matrices(rows: DataFrame, folder: str, length: int = LENGTH, pad_id: int = END_ID) -> DataFrame:
     """Writes the shards of ``packed`` rows under ``folder`` and gives the pieces with their place: shard, row, offset, doc_id, piece, start, length."""
 
@@ -164,21 +182,8 @@ def write_matrices(rows: DataFrame, folder: str, length: int = LENGTH, pad_id: i
             for shard, own in b.groupby("shard", sort=False):
                 full = own[own["row"].notna()].sort_values("row")
                 if len(full):
-                    kind = "<u2" if pad_id < 1 << 16 else "<u4"
-                    ids = np.full((len(full), length), pad_id, dtype=kind)
-                    resets = np.zeros((len(full), length), dtype=bool)
-                    ends = []
-                    for k, (raw, cu) in enumerate(zip(full["ids"], full["cu_seqlens"], strict=True)):
-                        ids[k, : cu[-1]] = np.frombuffer(raw, dtype=kind)
-                        resets[k, [c for c in cu if c < length]] = True
-                        ends.append(np.asarray(cu, dtype="<i4"))
                     name = f"{folder}/{shard}-{int(full['row'].iloc[0]):08d}"
-                    store.put(f"{name}.ids", ids.tobytes())
-                    store.put(f"{name}.resets", np.packbits(resets, axis=1).tobytes())
-                    store.put(f"{name}.cu_seqlens", np.concatenate(ends).tobytes())
-                    store.put(f"{name}.row_splits", np.cumsum([0, *map(len, ends)]).astype("<i8").tobytes())
-                    meta = {"rows": len(full), "length": length, "ids": kind, "pad_id": pad_id}
-                    store.put(f"{name}.json", json.dumps(meta).encode())
+                    _put_shard(full, name, length, pad_id)
                 out = []
                 for row, cu, pieces in zip(own["row"], own["cu_seqlens"], own["pieces"], strict=True):
                     at = None if pd.isna(row) else int(row - full["row"].iloc[0])
@@ -190,6 +195,27 @@ def write_matrices(rows: DataFrame, folder: str, length: int = LENGTH, pad_id: i
     return rows.mapInPandas(run, "shard string, row bigint, offset bigint, doc_id bigint, piece int, start bigint, length int")
 
 
+def write_rows(rows: DataFrame, folder: str, length: int = LENGTH, pad_id: int = END_ID) -> DataFrame:
+    """As ``write_matrices``, but a row for each packed row: shard, row and its pieces (doc_id, piece, start, offset, length); texts without tokens have no shard."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:  # a block is one batch, as in write_matrices
+            for shard, own in b.groupby("shard", sort=False):
+                full = own[own["row"].notna()].sort_values("row")
+                if len(full):
+                    first = int(full["row"].iloc[0])
+                    name = f"{folder}/{shard}-{first:08d}"
+                    _put_shard(full, name, length, pad_id)
+                out = []
+                for row, cu, pieces in zip(own["row"], own["cu_seqlens"], own["pieces"], strict=True):
+                    held = not pd.isna(row)
+                    placed = [{"doc_id": p["doc_id"], "piece": p["piece"], "start": p["start"], "offset": int(cu[k]) if held else None, "length": p["length"]} for k, p in enumerate(pieces)]
+                    out.append((name if held else None, int(row) - first if held else None, placed))
+                yield pd.DataFrame(out, columns=["shard", "row", "pieces"]).astype({"row": "Int64"})
+
+    return rows.mapInPandas(run, "shard string, row bigint, pieces array<struct<doc_id:bigint,piece:int,start:bigint,offset:bigint,length:int>>")
+
+
 def _positions(raw: bytes, meta: dict) -> np.ndarray:
     """The position of every token, from the bits where positions begin again."""
     bits = np.unpackbits(np.frombuffer(raw, dtype=np.uint8).reshape(meta["rows"], -1), axis=1, count=meta["length"]).astype(bool)

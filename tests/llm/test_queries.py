@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from millrace.llm import registry
+from millrace.llm import packing, registry, store
 from millrace.llm.common import table, written
 from millrace.llm.decontam import contained_items
 from millrace.llm.mixing import mixing_weights
@@ -62,3 +62,27 @@ def test_pipeline_leaves_only_its_stages(spark):
     out = corpus_pipeline.run(spark, str(SF))
     assert [m.rsplit("/", 1)[1].rsplit("-", 1)[0] for m in made[before:]] == [name for name, _ in corpus_pipeline.STAGES[:-1]]
     assert out.count() > 0
+
+
+def test_pipeline_writes_its_shards(spark, docs):
+    rows = [(i, "some words of a text " * (1 + i * 37 % 900)) for i in range(60)] + [(100, ""), (101, None)]
+    out = corpus_pipeline.packing_stage(spark, docs(rows).repartition(3, "doc_id"), str(SF)).collect()
+    with store.Reader(packing.VOCABULARY) as f:
+        encode = packing.encoder(f.read(0, f.size)).encode_ordinary
+    held, shards = {}, {}
+    assert sorted(p.doc_id for r in out if r.shard is None for p in r.pieces) == [100, 101]
+    for r in out:
+        if r.shard is None:
+            continue
+        ids, positions, cu, splits = shards.setdefault(r.shard, packing.matrix(spark, r.shard))
+        assert ids.shape[1] == packing.LENGTH
+        own = cu[splits[r.row] : splits[r.row + 1]].tolist()
+        assert own == [*(p.offset for p in r.pieces), r.pieces[-1].offset + r.pieces[-1].length]
+        assert (ids[r.row, own[-1] :] == packing.END_ID).all()
+        for p in r.pieces:
+            at = slice(p.offset, p.offset + p.length)
+            assert positions[r.row, at].tolist() == list(range(p.length))
+            held.setdefault(p.doc_id, []).append((p.start, ids[r.row, at].tolist()))
+    assert sum(len(s[0]) for s in shards.values()) == sum(r.shard is not None for r in out)
+    for doc_id, text in rows[:60]:
+        assert [i for _, part in sorted(held[doc_id]) for i in part] == [*encode(text), packing.END_ID]
