@@ -11,9 +11,10 @@ Defined results
 ---------------
 * null or empty text, and white space only: all statistics 0, ``base_failed`` true.
 * null language or source: a group of its own.
-* groups with fewer than ``min_group`` fitting rows use the estimate of their
-  language, and languages with fewer that of the whole table; with fewer than
-  ``min_group`` rows in all, only the base rules decide.
+* every group has its own estimate. With n < ``min_group`` fitting rows its centre and
+  scatter count n / ``min_group``, and the rest is its language's; a language is drawn
+  towards the whole table in the same way. The whole table is not drawn anywhere: it is
+  used as it is from ``LEAST_ROWS`` fitting rows, with fewer only the base rules decide.
 * repeated rows and equal doc_ids: each row is judged by itself.
 * empty table: empty result. Further columns are passed over.
 """
@@ -33,6 +34,8 @@ from .common import SPACE, let, require, words, written
 FLOORS = {"z_len": 0.5, "z_word": 0.5, "z_sym": 0.25, "z_line": 0.25, "z_rep": 0.1}
 Z = list(FLOORS)
 WINDOW = 5
+#: Fitting rows from which the scatter of the statistics is estimated at all: five for each dimension, the usual least for the MCD.
+LEAST_ROWS = 5 * len(Z)
 
 
 def repeat_words(ws: Column, window: int = WINDOW) -> Column:
@@ -202,6 +205,24 @@ def fit_mcd(rows: DataFrame, h: float = 0.75, steps: int = 3) -> DataFrame:
     return params
 
 
+MEANS = [f"m_{i}" for i in range(len(Z))]
+CELLS = [f"c_{i}_{j}" for i in range(len(Z)) for j in range(i + 1)]
+
+
+def _scatter(params: DataFrame) -> DataFrame:
+    """Centre m_i and covariance c_ij of each key from its Cholesky factor."""
+    cells = [sum((F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}") for k in range(1, j + 1)), F.col(f"l_{i}_0") * F.col(f"l_{j}_0")).alias(f"c_{i}_{j}") for i in range(len(Z)) for j in range(i + 1)]
+    return params.select("gkey", *MEANS, *cells)
+
+
+def _drawn(keys: DataFrame, own: DataFrame, key: str, over: DataFrame, over_key: str, enough: int) -> DataFrame:
+    """gkey, m_i and c_ij of each ``key``: its own estimate, with n < ``enough`` rows drawn towards that of ``over_key`` by the share that is missing."""
+    above = over.select(F.col("gkey").alias(over_key), *[F.col(c).alias(f"o_{c}") for c in [*MEANS, *CELLS]])
+    both = keys.join(_small(own.withColumnRenamed("gkey", key)), key).join(_small(above), over_key, "left")
+    w = F.col("n") / F.lit(float(enough))
+    return both.select(F.col(key).alias("gkey"), *[F.when(w >= 1, F.col(c)).otherwise(w * F.col(c) + (1 - w) * F.col(f"o_{c}")).alias(c) for c in [*MEANS, *CELLS]])
+
+
 def quality_rules(docs: DataFrame, h: float = 0.75, steps: int = 3, p: float = 1 - 1e-12, min_group: int = 200) -> DataFrame:
     """One row per document: the base statistics, ``base_failed``, ``distance`` (squared, null where no estimate exists) and ``kept``.
 
@@ -229,18 +250,21 @@ def _judged(docs: DataFrame, h: float, steps: int, p: float, min_group: int) ->
 
     fit = stats.where(~F.col("base_failed"))
     levels = ["k_group", "k_lang", "k_all"]
-    counts = fit.groupBy(*levels).agg(F.count(F.lit(1)).alias("n"))
-    every = counts.select(F.explode(F.array(*[F.struct(F.col(k).alias("gkey"), "n") for k in levels])).alias("x")).groupBy("x.gkey").agg(F.sum("x.n").alias("n"))
-    large = written(every.where(F.col("n") >= min_group).select("gkey"), "quality-groups")
-    pick = counts.select(*levels)
-    for k in levels:
-        pick = pick.join(large.select(F.col("gkey").alias(k), F.lit(True).alias(f"has_{k}")), k, "left")
-    pick = written(pick.select("k_group", F.coalesce(*[F.when(F.col(f"has_{k}"), F.col(k)) for k in levels]).alias("gkey")), "quality-pick")
-    used = pick.select("gkey").where(F.col("gkey").isNotNull()).distinct()
-    rows = fit.select(F.explode(F.array_distinct(F.array(*levels))).alias("gkey"), *Z).join(_small(written(used, "quality-used")), "gkey", "left_semi")
-    params = fit_mcd(rows, h, steps)
-
-    placed = stats.join(_small(pick), "k_group", "left").join(_small(params), "gkey", "left")
+    counts = written(fit.groupBy(*levels).agg(F.count(F.lit(1)).alias("n")), "quality-counts")
+    groups = counts if (counts.agg(F.sum("n")).first()[0] or 0) >= LEAST_ROWS else counts.limit(0)
+    langs = groups.groupBy("k_lang", "k_all").agg(F.sum("n").alias("n"), F.min("n").alias("least"))
+    langs = written(langs.where(F.col("least") < min_group).drop("least"), "quality-langs")  # those that a group is drawn towards
+    top = langs.where(F.col("n") < min_group).select("k_all").distinct()
+    used = groups.select(F.col("k_group").alias("gkey")).union(langs.select("k_lang")).union(top)
+    rows = fit.select(F.explode(F.array(*levels)).alias("gkey"), *Z).join(_small(written(used, "quality-used")), "gkey", "left_semi")
+    fitted = _scatter(fit_mcd(rows, h, steps))
+    of_langs = written(_drawn(langs, fitted, "k_lang", fitted, "k_all", min_group), "quality-langs-mcd")
+    params = _drawn(groups, fitted, "k_group", of_langs, "k_lang", min_group)
+    for name, e in _whiten().items():
+        params = params.withColumn(name, e)
+    params = written(params.withColumnRenamed("gkey", "k_group").drop(*CELLS), "quality-groups-mcd")
+
+    placed = stats.join(_small(params), "k_group", "left")
     limit = chi2_quantile(p, len(Z))
     verdict = ~F.col("base_failed") & (F.col("d2").isNull() | (F.col("d2") <= limit))
     return _distance(placed).withColumn("kept", verdict)

@@ -80,6 +80,24 @@ def test_verdicts(docs):
     assert left.columns == table.columns and {r.doc_id for r in left.collect()} == kept and {r.kept for r in left.collect()} == {"mine"}
 
 
+def test_small_groups_and_tables_are_judged(docs):
+    rng = random.Random(8)
+    text = lambda n, mark="": " ".join("".join(rng.choice("etaoin") for _ in range(rng.randrange(2, 9))) + mark for _ in range(n))
+    plain = [(i, text(rng.randrange(30, 300)), "en", "s") for i in range(60)]
+    junk = [(100, text(100, "****"), "en", "s")]
+    assert {r.doc_id for r in quality_rules(docs(plain + junk)).where("not kept").collect()} == {100}  # 61 rows in all
+    hot = [(1000 + i, text(rng.randrange(30, 300)), "en", "hot") for i in range(300)]
+    coded = [(2000 + i, text(rng.randrange(30, 300), rng.choice(["**", "*"])), "en", "coded") for i in range(150)]
+    out = quality_rules(docs(hot + coded + [(3000, text(100), "en", "one")])).collect()
+    assert {r.doc_id for r in out if not r.kept} == set()
+    spread = {r.doc_id: r.distance for r in out}
+    own = {r.doc_id: r.distance for r in quality_rules(docs(hot + coded), min_group=100).collect()}
+    lone = {r.doc_id: r.distance for r in quality_rules(docs(hot + coded), min_group=10**9).collect()}
+    mean = lambda d: sum(d[2000 + i] for i in range(150)) / 150
+    assert mean(own) < mean(spread) < mean(lone)  # drawn towards the language by the rows that are missing
+    assert all(abs(spread[i] - own[i]) < 1e-9 for i in spread if 1000 <= i < 2000)  # enough rows: its own alone
+
+
 def test_small_and_empty(docs):
     assert quality_rules(docs([])).count() == 0
     assert [r.kept for r in quality_rules(docs([(1, "a b c d e f g h i j k"), (2, "a")])).orderBy("doc_id").collect()] == [True, False]
