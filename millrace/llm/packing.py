@@ -17,6 +17,9 @@ positions begin again at 0, that is at each piece's first token and at the first
 Defined results
 ---------------
 * null or empty text: no token and no row; listed with one piece of length 0 and a null row.
+* very long texts: split into pieces of ``length`` ids; a task holds the text and its ids, and of the longest run
+  that the pattern does not split the encoder's list of ids, about 40 bytes each. Runs of any length are encoded as the pattern says.
+* ties: pieces of equal length keep their order; of equally full rows the last one opened takes a piece.
 * repeated rows are packed each; a null doc_id is carried as null.
 * empty table: no row. Further columns are passed over.
 """
@@ -30,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +46,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 END_ID = 50256
 LENGTH = 2048
 BLOCK_TOKENS = 4_000_000
+#: Length of a run of white space from which a text is split outside the encoder, and ids that are held as a list meanwhile.
+LONG_RUN, HELD = 20_000, 100_000
 
 SCHEMA = "shard string, row int, ids binary, cu_seqlens array<int>, pieces array<struct<doc_id:bigint,piece:int,start:bigint,length:int>>"
 
@@ -108,6 +114,35 @@ def encoder(vocabulary: bytes, pattern: str = PATTERN):
     return tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+class Tokens:
+    """Token ids of whole texts as arrays, whatever runs of white space they hold.
+
+    The encoder's own splitter backtracks on its stack, one frame for each character of a run of white space, and
+    fails on a run of some 100,000. A text with a run of ``LONG_RUN`` or more is therefore split here by the same
+    pattern, in an engine that keeps no frame for each character, and its pieces are encoded one by one.
+    """
+
+    def __init__(self, vocabulary: bytes, pattern: str, kind: str):
+        self.encoding, self.kind = encoder(vocabulary, pattern), kind
+        # white space is that of Unicode, as the encoder reads it: regex's own \s has U+001C to U+001F too
+        self.split = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
+        self.long = regex.compile(r"\p{White_Space}{%d}" % LONG_RUN)
+
+    def __call__(self, text: str) -> np.ndarray:
+        if len(text) < LONG_RUN or not self.long.search(text):
+            return np.array(self.encoding.encode_ordinary(text), dtype=self.kind)
+        return self.by_pieces(text)
+
+    def by_pieces(self, text: str) -> np.ndarray:
+        one, parts, held = self.encoding._core_bpe.encode_single_piece, [], []
+        for m in self.split.finditer(text):
+            held += one(m.group().encode("utf-8", "replace"))
+            if len(held) >= HELD:
+                parts.append(np.array(held, dtype=self.kind))
+                held = []
+        return np.concatenate([*parts, np.array(held, dtype=self.kind)])
+
+
 def packed(docs: DataFrame, length: int = LENGTH, vocabulary: str = VOCABULARY, pattern: str = PATTERN, end_id: int | None = END_ID, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """Packed rows of ``docs`` (doc_id, text): shard, row, ids, cu_seqlens and the pieces in the row; one row without ids lists the texts without tokens."""
     with store.Reader(vocabulary) as f:
@@ -115,7 +150,7 @@ def packed(docs: DataFrame, length: int = LENGTH, vocabulary: str = VOCABULARY,
     kind = "<u2" if max(len(raw.splitlines()), end_id or 0) < 1 << 16 else "<u4"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, part, block = encoder(raw, pattern).encode_ordinary, TaskContext.get().partitionId(), 0
+        encode, part, block = Tokens(raw, pattern, kind), TaskContext.get().partitionId(), 0
         pieces: list[tuple] = []
         empty: list[tuple] = []
         total = 0
@@ -134,7 +169,7 @@ def packed(docs: DataFrame, length: int = LENGTH, vocabulary: str = VOCABULARY,
         for b in batches:
             for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
                 doc_id = None if pd.isna(doc_id) else int(doc_id)
-                ids = np.array(encode(text), dtype=kind) if isinstance(text, str) else np.empty(0, dtype=kind)
+                ids = encode(text) if isinstance(text, str) else np.empty(0, dtype=kind)
                 if not len(ids):
                     empty.append((doc_id, 0, 0, ids))
                     continue

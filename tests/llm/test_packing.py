@@ -70,3 +70,49 @@ def test_round_trip(spark, docs, tmp_path, end_id):
     assert sorted(r.doc_id for r in empty) == [100, 101] and {r.ids_md5 for r in empty} == {hashlib.md5(b"").hexdigest()}
     assert len(back) == places.count()
     assert K.packed(docs([])).count() == 0
+
+
+@pytest.fixture(scope="module")
+def tokens():
+    with store.Reader(K.VOCABULARY) as f:
+        return K.Tokens(f.read(0, f.size), K.PATTERN, "<u2")
+
+
+def test_pieces_give_the_encoders_ids(tokens):
+    rng = random.Random(5)
+    chars = ["a", "s", "'", "'s", " ", "  ", "\n", "\t", "\x1c", "\x85", "\u2003", "1", "²", "é", "日", "!", "=", "\ud7ff", "🙂", "\u0301"]
+    for _ in range(400):
+        text = "".join(rng.choice(chars) * rng.choice([1, 1, 2, 9]) for _ in range(rng.randrange(40)))
+        assert tokens.by_pieces(text).tolist() == tokens.encoding.encode_ordinary(text)
+
+
+@pytest.mark.parametrize("run", [" ", "\n", "\t", "a", "7", "=", "é", " \n"])
+def test_long_runs(tokens, run):
+    """Runs of a million characters: lossless, and equal to what short runs give by the period of their ids."""
+    for n in (1_000_000, 1_000_001):
+        text = "x y" + run * n + "z 'll"
+        ids = tokens(text)
+        assert tokens.encoding.decode(ids.tolist()) == text
+    few = [tokens(f"x y{run * k}z 'll").tolist() for k in (4096, 4096 + 960)]
+    assert all(x == tokens.encoding.encode_ordinary(f"x y{run * k}z 'll") for x, k in zip(few, (4096, 4096 + 960)))
+    step = len(few[1]) - len(few[0])
+    mid = few[0][len(few[0]) // 2]
+    many = tokens(f"x y{run * (4096 + 960 * 1000)}z 'll").tolist()
+    assert len(many) == len(few[0]) + 1000 * step and many[:20] == few[0][:20] and many[-20:] == few[0][-20:] and many[len(many) // 2] == mid
+
+
+@pytest.mark.parametrize("run", [" ", "\n", "a", "7"])
+def test_ten_million(tokens, run):
+    text = run * 10_000_000
+    ids = tokens(text)
+    assert tokens.encoding.decode_bytes(ids.tolist()) == text.encode()
+
+
+def test_long_run_is_packed(docs):
+    text = "a" + " " * 1_000_000 + "b"
+    rows = K.packed(docs([(1, text), (2, "short")])).collect()
+    with store.Reader(K.VOCABULARY) as f:
+        encoding = K.encoder(f.read(0, f.size))
+    got = sorted((p.start, np.frombuffer(r.ids, "<u2")[a : a + p.length].tolist()) for r in rows for p, a in zip(r.pieces, r.cu_seqlens) if p.doc_id == 1)
+    ids = [i for _, part in got for i in part]
+    assert ids[-1] == K.END_ID and encoding.decode(ids[:-1]) == text and all(r.cu_seqlens[-1] <= K.LENGTH for r in rows)
