@@ -13,6 +13,8 @@ Defined results
 * unclosed elements, stray end tags, truncated tags and entities are read as browsers
   do: an open tag at the end of the file is dropped, a reference without its semicolon
   is decoded where HTML allows it.
+* very long or deep pages: read in one pass, with no limit; memory grows with the page's blocks and open elements.
+* ties: a block whose odds are even, and an even cut, count as content.
 * page_id may be null or repeated; each row is read by itself. Further columns are passed over.
 * empty table: empty result.
 """
@@ -47,18 +49,29 @@ RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW}
 SCRIPT_MARK = re.compile(r"<!(?=--)|-->|<(/?)script(?=[\s/>])", re.I)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|\b(hidden)\b""")
 
-# The classifier: log-odds of content.
+# The classifier: log-odds of content. There are no labels of blocks to fit them to: they are set by hand, so that a name or an element
+# outweighs what text alone can say, and are held by the markups in tests/llm/test_html.py; the driver's pages are tests only.
 TAG_WEIGHT = {"article": 3.0, "main": 2.0, "nav": -7.0, "footer": -6.0, "aside": -7.0, "header": -5.0, "form": -7.0, "button": -7.0, "select": -7.0, "dialog": -7.0, "menu": -6.0, "noscript": -7.0, "search": -7.0, "label": -3.0, "legend": -3.0, "video": -7.0, "audio": -7.0, "object": -7.0, "canvas": -7.0}
 #: A header or footer within an article is more often part of it.
 INNER = {"header": -0.5, "footer": -4.0}
 ROLE_WEIGHT = {"main": 2.0, "article": 3.0, "navigation": -7.0, "banner": -6.0, "contentinfo": -6.0, "complementary": -7.0, "search": -7.0, "dialog": -7.0, "alertdialog": -7.0, "alert": -6.0, "form": -7.0, "menu": -7.0, "menubar": -7.0, "tooltip": -6.0, "status": -5.0}
-NAMES = re.compile(
-    r"(?:^|[\s_-])(?:(?P<bad>ads?|adverts?|advertisements?|advertising|adsense|adslot|banners?|sponsors?|sponsored|promos?|promotions?|promoted|cookies?|consent|gdpr|notices?|alerts?|popups?|pop|modals?|overlay|lightbox|newsletters?|subscri(?:be|ption)|signup|shar(?:e|ing)|social|side|sidebars?|menus?|menubar|nav|navbars?|navigation|breadcrumbs?|footers?|foot|masthead|topbar|toolbar|comments?|commentlist|disqus|discussion|replies|reply|respond|responses?|reviews?|related|recommend(?:ed|ations?)?|more|trending|popular|copyright|legal|disclaimer|login|search|widgets?|pagination|pager|tags?|tagcloud|skip|hidden|toc|rating|feedback|survey|outbrain|taboola|dfp|gpt)|(?P<head>headers?|head)|(?P<good>articles?|content|post|entry|story|body|main|text|prose))(?=$|[\s_-])",
-    re.I,
+# Names (a class, or an id) are read whole; a compound is read by its last word, which says what the thing is, or by a first word
+# that is used for nothing else. Names of which one tells the whole layout (has-, tag-, category-, ...) say nothing of the element.
+BAD = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising adsense adslot banner banners sponsor sponsors sponsored promo promos promotion promotions promoted cookie cookies consent gdpr notice notices popup popups modal modals lightbox newsletter newsletters subscribe subscription signup share sharing sidebar sidebars menu menus menubar nav navbar navbars navigation breadcrumb breadcrumbs footer footers masthead topbar toolbar comment comments commentlist disqus related recommended recommendation recommendations trending login widget widgets pagination pager tagcloud outbrain taboola dfp gpt".split()
 )
+#: Names that may also be the title of a part of the article: inside one they count only with entries or reply signs in them.
+DOUBTFUL = frozenset("discussion replies reply respond response responses review reviews feedback rating ratings survey more popular search social side foot legal copyright disclaimer alert alerts overlay toc tags skip hidden pop".split())
+FIRST = frozenset("ad ads advert adsense cookie cookies consent gdpr newsletter sidebar nav navbar menu footer comment comments disqus share sharing promo sponsored breadcrumb breadcrumbs popup modal widget outbrain taboola pagination".split())
+HEAD = frozenset("header headers head".split())
+GOOD = frozenset("article articles content post entry hentry story body main text prose".split())
+LAYOUT = re.compile(r"(?:has|with|without|no|is|layout|tag|category|cat|term|topic|type|status|format|author|lang|theme|color)-")
+#: What stands within entries that readers have left.
+ENTRY = re.compile(r"(?:^|[\s_-])(?:comment|reply|replies|respons|review|author|avatar|user|commenter|vote|rating)", re.I)
 CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
-#: Names that say something of the whole layout and not of the element.
-LAYOUT = re.compile(r"(?:^|(?<=\s))(?:has|with|without|no|is|layout)[-_]\S+", re.I)
+NAME_WEIGHT, DOUBTFUL_WEIGHT = -6.5, -4.0
+#: Elements whose names say nothing ill of them; headings and terms often have their own title as id.
+UNNAMED = frozenset("html body article main h1 h2 h3 h4 h5 h6 dt a span b i em strong code".split())
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -83,49 +96,106 @@ def _raw_end(html: str, tag: str, at: int) -> int:
     return -1
 
 
+def name_sign(names: list[str]) -> str:
+    """What the names of an element say of it: bad, doubtful, head, good or ''."""
+    found = set()
+    for name in names:
+        name = re.sub(r"-*\d+$", "", CAMEL.sub("-", name).lower().replace("_", "-")).strip("-")
+        parts = [x for x in name.split("-") if x]
+        if not parts or LAYOUT.match(name):
+            continue
+        last = parts[-1] if len(parts[-1]) > 1 or len(parts) == 1 else parts[-2]
+        if last in BAD or parts[0] in FIRST:
+            found.add("bad")
+        elif last in HEAD:
+            found.add("head")
+        elif last in GOOD or parts[0] in ("entry", "article", "post", "story"):
+            found.add("good")
+        elif last in DOUBTFUL and (len(parts) == 1 or last not in ("more", "side", "foot", "pop", "skip", "hidden")):
+            found.add("doubtful")
+    if "doubtful" in found and "good" in found:
+        found.discard("doubtful")  # an article's classes hold its topics too
+    return next((x for x in ("bad", "doubtful", "head", "good") if x in found), "")
+
+
 class Node:
-    __slots__ = ("tag", "parent", "weight", "link", "number", "inside")
+    __slots__ = ("tag", "parent", "number", "link", "own", "sign", "names", "entries", "roots", "weight", "inside")
 
     def __init__(self, tag: str, parent: Node | None, number: int):
         self.tag, self.parent, self.number = tag, parent, number
-        self.weight = parent.weight if parent else 0.0
         self.link = parent.link if parent else False
-        self.inside = parent.inside if parent else False
+        self.own, self.sign, self.names = 0.0, "", False
+        self.entries = self.roots = 0
+        self.weight, self.inside = 0.0, False
 
 
-def _weigh(node: Node, attributes: str) -> None:
-    """Adds what an element's name and attributes say; ill signs add up only to the worst of them."""
-    tag, base = node.tag, node.weight
-    own = INNER.get(tag, TAG_WEIGHT.get(tag, 0.0)) if node.inside else TAG_WEIGHT.get(tag, 0.0)
-    if tag in ("article", "main"):
-        node.inside = True
-    if tag == "a":
+def _mark(node: Node, attributes: str) -> None:
+    """What the attributes of an element say; its weight waits until the page is read."""
+    if node.tag == "a":
         node.link = True
-    if attributes and tag not in ("html", "body"):
-        for m in ATTRIBUTE.finditer(attributes):
-            if m.group(5):
-                own = min(own, -8.0)
-                continue
-            name, value = m.group(1).lower(), next((g for g in m.groups()[1:4] if g is not None), "")
-            if name in ("class", "id"):
-                marks = {k for x in NAMES.finditer(LAYOUT.sub("", CAMEL.sub("-", value))) for k, v in x.groupdict().items() if v}
-                if "bad" in marks:
-                    own = min(own, -6.5)
-                elif "head" in marks:
-                    own = min(own, -0.5 if node.inside else -5.0)
-                elif "good" in marks and own >= 0:
-                    own = max(own, 1.5)
-            elif name == "role":
-                w = ROLE_WEIGHT.get(value.strip().lower(), 0.0)
-                own = min(own, w) if w < 0 else max(own, w)
-            elif (name == "aria-hidden" and value.lower() == "true") or (name == "style" and HIDDEN.search(value)):
-                own = min(own, -8.0)
-    if own < 0:
-        node.weight = min(base, 3.0) + own if base > 0 else min(base, own)
-    elif own > 0 and base >= 0:
-        node.weight = min(4.0, base + own)
-    elif own > 0:
-        node.weight = base + 0.5
+    if not attributes or node.tag in ("html", "body"):
+        return
+    names = []
+    for m in ATTRIBUTE.finditer(attributes):
+        if m.group(5):
+            node.own = min(node.own, -8.0)
+            continue
+        name, value = m.group(1).lower(), next((g for g in m.groups()[1:4] if g is not None), "")
+        if name in ("class", "id"):
+            node.names = node.names or bool(ENTRY.search(value))
+            names += value.split()
+        elif name == "role":
+            w = ROLE_WEIGHT.get(value.strip().lower(), 0.0)
+            node.own = min(node.own, w) if w < 0 else max(node.own, w)
+        elif (name == "aria-hidden" and value.lower() == "true") or (name == "style" and HIDDEN.search(value)):
+            node.own = min(node.own, -8.0)
+    node.sign = name_sign(names) if names else ""
+
+
+def weigh(nodes: list[Node]) -> None:
+    """The weights of all elements of a page, parents first; ill signs add up only to the worst of them.
+
+    A name says nothing ill of html, body and headings, and of an article or main element only where the page has
+    another one; nor of an element that holds every article of the page. A doubtful name counts within an article only if
+    the element has entries: items, or things named like those that readers leave.
+    """
+    for n in reversed(nodes):
+        if n.tag in ("article", "main") and n.sign != "bad":
+            n.roots += 1
+        if n.names or n.tag in ("li", "article", "blockquote", "time"):
+            n.entries += 1
+        if n.parent is not None:
+            n.parent.roots += n.roots
+            n.parent.entries += n.entries
+    roots = sum(n.roots for n in nodes if n.parent is not None and n.parent.parent is None)
+    for n in nodes:
+        above = n.parent
+        base, n.inside = above.weight, above.inside
+        own = INNER.get(n.tag, TAG_WEIGHT.get(n.tag, 0.0)) if n.inside else TAG_WEIGHT.get(n.tag, 0.0)
+        own = min(own, n.own) if n.own < 0 else max(own, n.own) if n.own > 0 else own
+        ill = n.sign in ("bad", "doubtful") and n.tag not in UNNAMED and not (roots and n.roots == roots)
+        if n.tag in ("article", "main") and n.sign == "bad":
+            ill = roots > 0
+        if ill and n.sign == "bad":
+            own = min(own, NAME_WEIGHT)
+        elif ill and n.inside:
+            own = min(own, NAME_WEIGHT) if n.entries - (n.names or n.tag in ("li", "article", "blockquote", "time")) > 0 else own
+        elif ill:
+            own = min(own, DOUBTFUL_WEIGHT)
+        elif n.sign == "head" and n.tag not in UNNAMED and not (roots and n.roots == roots):
+            own = min(own, -0.5 if n.inside else -5.0)
+        elif n.sign == "good" and own >= 0:
+            own = max(own, 1.5)
+        if n.tag in ("article", "main") and own > 0:
+            n.inside = True
+        if own < 0:
+            n.weight = min(base, 3.0) + own if base > 0 else min(base, own)
+        elif own > 0 and base >= 0:
+            n.weight = min(4.0, base + own)
+        elif own > 0:
+            n.weight = base + 0.5
+        else:
+            n.weight = base
 
 
 class Page:
@@ -137,7 +207,9 @@ class Page:
         self.linked = 0
         self.count = 0
         self.top = Node("", None, 0)
+        self.nodes: list[Node] = []
         self._read(html)
+        weigh(self.nodes)
 
     def _flush(self, at: Node) -> None:
         if self.parts:
@@ -207,7 +279,8 @@ class Page:
                 continue
             self.count += 1
             node = Node(tag, at, self.count)
-            _weigh(node, attributes)
+            _mark(node, attributes)
+            self.nodes.append(node)
             at = node
         if not skip and end < len(html):
             self._text(html[end:], at)

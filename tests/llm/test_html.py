@@ -69,6 +69,52 @@ def test_raw_elements_end_at_their_own_end_tag():
         assert main_text(html) == text, html
 
 
+LEAD = "The article text is here, and it is rather long for a line of a page."
+NAMED = [
+    '<article class="post tag-news">{}</article>',
+    '<article class="post category-reviews">{}</article>',
+    '<article class="hentry tag-social category-menu">{}</article>',
+    '<article id="post-12" class="type-post status-publish format-standard tag-popular tag-comments">{}</article>',
+    '<body class="has-sidebar menu-open modal-closed">{}</body>',
+    '<main id="search" class="widget-area">{}</main>',
+    '<div class="sidebar-right social"><article>{}</article></div>',
+    '<article><section id="discussion"><h2>Discussion</h2>{}</section></article>',
+    '<article><section id="reviews">{}</section></article>',
+    '<article><div class="section" id="related-studies">{}</div></article>',
+    '<article><h2 id="comments">On comments and navigation menus</h2>{}</article>',
+    '<article><div class="entry tag-ads">{}</div></article>',
+    '<article><div class="post-body promoted-topic">{}</div></article>',
+    '<div class="layout-sidebar"><div class="content">{}</div></div>',
+    '<article><div id="adapter" class="loading shadow">{}</div></article>',
+]
+BOILER = [
+    '<div class="{}"><p>Some words that no reader came for, written out in full.</p></div>'.format(n)
+    for n in ("ad", "ads-top", "ad_slot_3", "adSlot", "cookie-notice", "cookieBanner", "site-footer", "main-nav", "navbar navbar-dark", "newsletter-signup", "sidebar", "left-sidebar", "comments", "comment-list", "reader-comments", "related", "related-posts widget", "breadcrumbs", "share", "social-share", "promo", "sponsored", "popup", "pagination")
+] + [
+    '<section id="discussion"><div class="comment"><p>A reader says a long thing with very many words in it, really.</p></div></section>',
+    '<div id="responses"><ul><li><p>First, I say, of all of the readers here, and so on!</p></li></ul></div>',
+    '<div class="reviews"><div class="review-author">Ann</div><p>I have read all of it and I did like it very much.</p></div>',
+]
+
+
+@pytest.mark.parametrize("page", NAMED)
+def test_names_do_not_hit_articles(page):
+    text = main_text("<nav><a href='/'>Home</a></nav>" + page.format(f"<p>{LEAD}</p><p>{LEAD}</p>") + "<footer>All of it by us</footer>")
+    assert text.endswith(f"{LEAD}\n{LEAD}") and "Home" not in text and "by us" not in text
+
+
+@pytest.mark.parametrize("part", BOILER)
+def test_named_boilerplate_goes(part):
+    for page in ("<article><p>{0}</p>{1}<p>{0}</p></article>", "<article><p>{0}</p><p>{0}</p></article>{1}", "<div>{1}</div><main><p>{0}</p><p>{0}</p></main>"):
+        assert main_text(page.format(LEAD, part)) == f"{LEAD}\n{LEAD}", part
+
+
+def test_comments_as_articles_and_cards():
+    page = f"<main><article><p>{LEAD}</p></article>{{}}</main>"
+    assert main_text(page.format('<div id="comments"><ol><li><article class="comment-body"><p>A long thing that a reader says, with words.</p></article></li></ol></div>')) == LEAD
+    assert main_text(page.format('<div class="related"><article class="card"><p>Another story that one might read as well, some day.</p></article></div>')) == LEAD
+
+
 def test_long_page():
     body = "".join(f"<p>Paragraph {i} of a very long page with words.</p>" for i in range(20_000))
     assert main_text(f"<nav>menu</nav><article>{body}</article>").count("\n") == 19_999
