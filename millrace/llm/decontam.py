@@ -4,10 +4,11 @@ Test items are short and documents may be very long, so a sketch of the whole
 document would have no power. The sketch is therefore taken of the items: they are
 partitioned by the size of their shingle set, and each partition keeps so many of
 the smallest hash values (a bottom-k MinHash) that a document which contains the
-share ``threshold`` of an item must contain one of them. Documents give all their
-shingles, in the row, and meet the sketch in one hash join; the same join finds the
-shingles that verify the containment exactly. Only shingles of test items are
-shuffled.
+share ``threshold`` of an item must contain one of them: if it lacks at most s - ceil(s * threshold)
+of s shingles, it holds one of any s - ceil(s * threshold) + 1. Documents give all their
+shingles, in the row, and meet the sketches alone in one hash join, which yields the candidate pairs.
+Only the documents of candidates are read once more, and only against the items of candidates, to count
+the shared shingles exactly. Only shingles of test items are shuffled.
 
 Defined results
 ---------------
@@ -16,6 +17,9 @@ Defined results
   as such in every document.
 * rows with the same doc_id (or the same item_id) are read as one document (item)
   whose shingles are united; null ids form one document (item) too.
+* very long documents: their shingle hashes are an array of the row, 8 bytes a word; nothing is cut.
+* ties: none can arise, every pair over the threshold is returned.
+* columns of ``docs`` may have any name; ``decontaminate`` returns them all as they are.
 * empty tables: no pair. Further columns are passed over.
 """
 
@@ -24,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, require, words, written
+from .common import free_name, let, require, words, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -64,25 +68,43 @@ def item_index(items: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE)
     return laid.select("item_id", "width", "size", "k", F.posexplode("m").alias("at", "x")).select("item_id", "width", "size", F.col("x.h").alias("hash"), (F.col("at") < F.col("k")).alias("sketch"))
 
 
+def _side(index: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(index) if rows <= BROADCAST_ROWS else index
+
+
+def candidates(docs: DataFrame, index: DataFrame, sizes: list[int], rows: int | None = None) -> DataFrame:
+    """(doc_id, item_id) of the documents that hold a shingle of an item's sketch; every document that contains an item is among them."""
+    sketch = index.where("sketch").select("item_id", "hash")
+    own = docs.select("doc_id", F.explode(shingles(F.col("text"), sizes)).alias("hash"))
+    return own.join(_side(sketch, sketch.count() if rows is None else rows), "hash").select("doc_id", "item_id").distinct()
+
+
 def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE) -> DataFrame:
     """(doc_id, item_id, n_item, n_found, containment) of all pairs where the document contains the share ``threshold`` or more of the item's shingles."""
     require(docs, "doc_id", "text")
     require(items, "item_id", "text")
+    docs = docs.select("doc_id", "text")
     index = written(item_index(items.select("item_id", "text"), threshold, n), "items")
-    facts = index.agg(F.count(F.lit(1)).alias("rows"), F.collect_set("width").alias("widths")).first()
+    facts = index.agg(F.count_if("sketch").alias("rows"), F.collect_set("width").alias("widths")).first()
     sizes = sorted(facts["widths"]) or [n]
-    own = docs.select("doc_id", F.explode(shingles(F.col("text"), sizes)).alias("hash"))
-    side = index.drop("width")
-    if facts["rows"] <= BROADCAST_ROWS:
-        side = F.broadcast(side)
-    met = own.join(side, "hash").groupBy("doc_id", "item_id").agg(F.first("size").alias("n_item"), F.count_distinct("hash").alias("n_found"), F.max("sketch").alias("candidate"))
+    pairs = written(candidates(docs, index, sizes, facts["rows"]), "candidates")
+
+    # verification: the candidates' documents are read again, and meet the whole sets of the candidates' items
+    few = pairs.select("doc_id").distinct()
+    few = F.broadcast(few) if few.count() <= BROADCAST_ROWS else few
+    texts = docs.join(few.withColumnRenamed("doc_id", "_d"), F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
+    sets = written(index.join(pairs.select("item_id").distinct(), index["item_id"].eqNullSafe(pairs["item_id"]), "left_semi").select("item_id", "size", "hash"), "item-sets")
+    met = texts.select("doc_id", F.explode(shingles(F.col("text"), sizes)).alias("hash")).join(_side(sets, sets.count()), "hash")
+    met = met.groupBy("doc_id", "item_id").agg(F.first("size").alias("n_item"), F.count_distinct("hash").alias("n_found"))
+    p = pairs.select(F.col("doc_id").alias("_d"), F.col("item_id").alias("_i"))
+    met = met.join(p, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("item_id").eqNullSafe(F.col("_i")), "left_semi")
     found = F.col("n_found").cast("double") / F.col("n_item")
-    return met.where(F.col("candidate") & (found >= threshold - 1e-12)).select("doc_id", "item_id", F.col("n_item").cast("long").alias("n_item"), "n_found", F.round(found, 6).alias("containment"))
+    return met.where(found >= threshold - 1e-12).select("doc_id", "item_id", F.col("n_item").cast("long").alias("n_item"), "n_found", F.round(found, 6).alias("containment"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE) -> DataFrame:
     """``docs`` without the documents that contain an item; rows with a null doc_id stay only if none of them does."""
-    bad = written(contained_items(docs, items, threshold, n).select(F.col("doc_id").alias("_bad")).distinct(), "contaminated")
+    bad = written(contained_items(docs, items, threshold, n).select(F.col("doc_id").alias(free_name(docs, "bad"))).distinct(), "contaminated")
     if bad.count() <= BROADCAST_ROWS:
         bad = F.broadcast(bad)
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(bad.columns[0])), "left_anti")

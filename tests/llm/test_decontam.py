@@ -75,3 +75,32 @@ def test_empty(spark, docs):
     pairs = D.contained_items(same, spark.createDataFrame([(7, "a b c d e")], "item_id bigint, text string")).collect()
     assert sorted((r.doc_id or 0, r.n_found) for r in pairs) == [(0, 1), (1, 1)]
     assert [r.doc_id for r in D.decontaminate(same, spark.createDataFrame([(7, "a b c d e")], "item_id bigint, text string")).collect()] == []
+
+
+def test_candidates_come_from_sketches_alone(spark, docs, monkeypatch):
+    """Without its sketch rows a pair is not found, and fewer rows are joined than with whole sets."""
+    rows, items = cases()
+    table, both = docs(rows), spark.createDataFrame(items, "item_id bigint, text string")
+    found = D.contained_items(table, both).collect()
+    lost = found[0].item_id
+    whole = D.item_index
+    index = whole(both)
+    assert index.where("sketch").count() < 0.5 * index.count()
+    sizes = sorted({r.width for r in index.select("width").distinct().collect()})
+    pairs = D.candidates(table, index, sizes)
+    assert {(r.doc_id, r.item_id) for r in found} <= {tuple(r) for r in pairs.collect()}
+    own = table.select("doc_id", F.explode(D.shingles(F.col("text"), sizes)).alias("hash"))
+    assert own.join(index.where("sketch").select("hash"), "hash").count() < 0.5 * own.join(index.select("hash"), "hash").count()
+    monkeypatch.setattr(D, "item_index", lambda *a: whole(*a).withColumn("sketch", F.col("sketch") & (F.col("item_id") != lost)))
+    assert {tuple(r) for r in D.contained_items(table, both).collect()} == {tuple(r) for r in found if r.item_id != lost}
+
+
+def test_long_text_and_clashing_columns(spark, docs):
+    rng = random.Random(4)
+    item = " ".join(f"i{k}" for k in range(30))
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(300_000)) + " " + item
+    table = docs([(1, long), (2, "short text of few words here")]).withColumn("bad", F.lit(1)).withColumn("_d", F.lit(2)).withColumn("sketch", F.lit(3))
+    both = spark.createDataFrame([(7, item), (7, item), (8, None)], "item_id bigint, text string").withColumn("size", F.lit(1))
+    assert [(r.doc_id, r.item_id, r.containment) for r in D.contained_items(table, both).collect()] == [(1, 7, 1.0)]
+    left = D.decontaminate(table, both)
+    assert left.columns == table.columns and [r.doc_id for r in left.collect()] == [2]
