@@ -31,13 +31,34 @@ def test_marginals_meet_targets(spark):
     cells = [(a, b, c, float(rng.randrange(1, 99))) for a in "xyz" for b in "uv" for c in "pq"]
     df = spark.createDataFrame(cells, "_k0 string, _k1 string, _k2 string, tokens double")
     goals = [{"x": 50.0, "y": 30.0, "z": 20.0}, {"u": 60.0, "v": 40.0}, {"p": 10.0, "q": 90.0}]
-    targets = [spark.createDataFrame(list(g.items()), f"_k{i} string, goal double") for i, g in enumerate(goals)]
-    out = M.rake(df, targets, sweeps=24).collect()
-    for i, g in enumerate(goals):
-        sums = defaultdict(float)
-        for r in out:
-            sums[r[f"_k{i}"]] += r.raked
-        assert all(abs(sums[k] - v) < 1e-6 for k, v in g.items())
+    targets = [spark.createDataFrame(list(g.items()), f"_k{i} string, goal double").withColumn("full", F.lit(False)) for i, g in enumerate(goals)]
+    for x in range(2):
+        out = M.rake(df, targets, budget=0.1, tolerance=1e-9).collect()
+        for i, g in enumerate(goals):
+            sums = defaultdict(float)
+            for r in out:
+                sums[r[f"_k{i}"]] += r.tokens * min(1.0, r.factor)
+            assert all(abs(sums[k] - v) < 1e-6 for k, v in g.items())
+        df = df.repartition(3)
+        M.ONE_TASK, before = 0, M.ONE_TASK  # the same with exchanges
+    M.ONE_TASK = before
+
+
+def test_report_names_what_cannot_be_met(docs, spark):
+    d = table(docs, 1500, 3)
+    rows = M.mixing_report(d).collect()
+    assert len(rows) > 8
+    p = {(r.topic, r.probability) for r in M.mixing_weights(d).collect()}
+    assert any(not r.met for r in rows) and any(r.met for r in rows) and max(x for _, x in p) <= 1
+    total = sum(r.tokens for r in rows if r.dimension == "lang")
+    for dim in M.DIMS:
+        own = [r for r in rows if r.dimension == dim]
+        assert abs(sum(r.goal for r in own) - M.BUDGET * total) < 1e-6 * total and abs(sum(r.target for r in own) - M.BUDGET * total) < 1e-6 * total
+        assert all(r.goal <= r.tokens * (1 + 1e-12) and (r.goal >= r.target * (1 - 1e-12) or r.goal == r.tokens) for r in own)
+        assert all(abs(r.reached / r.goal - 1) <= 1.01 * M.TOLERANCE for r in own if r.goal)
+    targets = [spark.createDataFrame(x, f"_k{i} string, share double") for i, x in enumerate([[("a", 0.1), ("b", 0.3), ("c", 0.6)], [("en", 0.5), ("de", 0.5)], [("short-mixed", 1.0)]])]
+    rows = {(r.dimension, r.category): r for r in M.mixing_report(d, targets).collect()}
+    assert rows["source", "c"].goal == rows["source", "c"].tokens < rows["source", "c"].target and not rows["source", "c"].met
 
 
 def test_draws(docs):
