@@ -55,7 +55,7 @@ def main(argv: list[str] | None = None, lines: list[str] | None = None) -> str:
                 f.write(report.text_report(results))
             else:
                 f.writelines(r.line + "\n" for r in report.listing(results).orderBy("section", "line").toLocalIterator())
-    return report.console_report(results)
+    return report.console_report(results, headers=headers_of(a.H))
 
 
 if __name__ == "__main__":

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import fixed
 from .url import any_of, is_absolute, trim_space
 
+# The patterns of literals, binary runs and admitted paths.
 #: Quoted absolute URLs and rooted or dotted paths; the quotes need not match.
 LITERAL = r"""["'](https?://[^"'\t\n\f\r <>]+|\.{0,2}/[^"'\t\n\f\r <>,;|*()\[\]{}\\]+)["']"""
 INLINE_DATA = r"data:[^;]+;base64,[A-Za-z0-9+/=]{100,}"

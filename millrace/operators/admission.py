@@ -52,8 +52,8 @@ def fetch_error(url: Column, status: Column, content_type: Column, error: Column
     return F.when(early, F.lit("")).when(F.coalesce(error, F.lit("")) != "", error).when(status != 200, F.concat(F.lit("HTTP "), code)).otherwise(F.lit(""))
 
 
-def admit(fetches: DataFrame) -> DataFrame:
-    """``fetches`` (url, status, content_type, content_disposition, content_length, body, error) with content, error, skipped and skip_reason."""
+def admit(fetches: DataFrame, others: list[Column] | None = None) -> DataFrame:
+    """``fetches`` (url, status, content_type, content_disposition, content_length, body, error) with content, error, skipped and skip_reason, and ``others``."""
     c = F.col
     body = F.substring(c("body").cast("binary"), 1, BODY_LIMIT)
     text = F.make_valid_utf8(body.cast("string"))
@@ -66,4 +66,5 @@ def admit(fetches: DataFrame) -> DataFrame:
         c("_e").alias("error"),
         c("skip_reason").isNotNull().alias("skipped"),
         "skip_reason",
+        *(others or []),
     )

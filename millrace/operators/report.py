@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
+from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.headers import format_secret, shorten
+from ..functions.headers import format_secret, format_size, mask_header, shorten
 from ..functions.url import is_absolute, is_js_strict
 
 
@@ -57,13 +58,19 @@ def json_report(results: DataFrame, deep: bool = False, max_depth: int = 3, most
         for name in ("paths", "secrets"):
             r[name] = r.get(name) or None
     out = {k: head[k] for k in ("total_urls", "successful_scans", "failed_scans", "skipped_scans", "total_paths", "total_secrets")}
-    out |= {"deep_scan_enabled": deep, "max_depth": max_depth, "results": rows}
+    out |= {"deep_scan_enabled": deep, "max_depth": max_depth, "scan_date": datetime.now(UTC).isoformat(timespec="seconds"), "results": rows}
     text = json.dumps(out, indent=2, ensure_ascii=False)
     return text.replace("<", "\\u003c").replace(">", "\\u003e").replace("&", "\\u0026")
 
 
-def console_report(results: DataFrame, most: int = 1000) -> str:
-    """What a terminal shows of each result: header with depth and parent, paths with a mark for scripts, secrets, counts; then the totals."""
+def masked_headers(spark: SparkSession, headers: dict[str, str]) -> list[str]:
+    """'name: value' of request headers, sensitive values masked."""
+    rows = spark.createDataFrame(list(headers.items()), "name string, value string")
+    return [f"{r.name}: {r.shown}" for r in rows.select("name", mask_header(F.col("name"), F.col("value")).alias("shown")).collect()]
+
+
+def console_report(results: DataFrame, most: int = 1000, headers: dict[str, str] | None = None) -> str:
+    """What a terminal shows: the request headers, masked; of each result a head with depth and parent, paths with a mark for scripts, secrets, counts, size and duration; then the totals."""
     totals = summarise(results).first()
     if totals["total_urls"] > most:
         raise ValueError(f"{totals['total_urls']} results; show() or the writers take any number")
@@ -74,8 +81,9 @@ def console_report(results: DataFrame, most: int = 1000) -> str:
         "*",
         F.transform("paths", lambda p: F.concat(shorten(p, 70), F.when(is_js_strict(p), F.lit(" [JS]")).otherwise(F.lit("")))).alias("_paths"),
         F.transform("secrets", format_secret).alias("_secrets"),
+        format_size(F.coalesce("content_size", F.lit(0))).alias("_size") if "content_size" in results.columns else F.lit("0B").alias("_size"),
     )
-    lines = []
+    lines = ["headers:", *(f"  {h}" for h in masked_headers(results.sparkSession, headers))] if headers else []
     for r in shown.collect():
         pad = "  " * r["depth"]
         lines += ["-" * 80, f"{pad}{r['url']}" + (f" [JS] (depth: {r['depth']})" if r["depth"] else "")]
@@ -85,6 +93,7 @@ def console_report(results: DataFrame, most: int = 1000) -> str:
             continue
         lines += [f"{pad}  -> {p}" for p in r["_paths"]] + [f"{pad}  !! {s}" for s in r["_secrets"]]
         lines.append(f"{pad}  paths: {r['path_count']} | secrets: {r['secret_count']}")
+        lines.append(f"{pad}  size: {r['_size']}" + (f" | duration: {r['duration']}" if "duration" in r and r["duration"] else ""))
     lines += ["=" * 80, f"URLs: {totals['total_urls']} | ok: {totals['successful_scans']} | skipped: {totals['skipped_scans']} | failed: {totals['failed_scans']} | paths: {totals['total_paths']} | secrets: {totals['total_secrets']}"]
     return "\n".join(lines) + "\n"
 

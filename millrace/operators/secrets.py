@@ -103,7 +103,8 @@ def scan_secrets(df: DataFrame, content: str = "content", pack: str = "compat",
 
 def label_secrets(found: DataFrame, pack: str = "compat", path: Path = KEYWORDS) -> DataFrame:
     """Adds label and rendered to the rows of ``scan_secrets``."""
-    return found.withColumn("label", classify(F.col("match"), pack, path)).withColumn("rendered", render(F.col("label"), F.col("match")))
+    named = F.transform(F.array(classify(F.col("match"), pack, path)), lambda n: F.struct(n.alias("label"), render(n, F.col("match")).alias("rendered")))
+    return found.select("*", F.inline(named))  # a generator: filters on the label do not classify once more
 
 
 def distinct_secrets(text: Column, pack: str = "compat", path: Path = KEYWORDS) -> Column:

@@ -244,7 +244,8 @@ def secrets_dedup(spark, sf_dir):
 
 @query("secrets_by_label", f"{LABELLED}, {DISTINCT} select label, count(*) as n, count(distinct doc_id) as n_docs from firsts_of group by label")
 def secrets_by_label(spark, sf_dir):
-    found = S.label_secrets(S.scan_secrets(_secret_docs(spark, sf_dir))).where(S.is_valid_secret(F.col("rendered")))
+    found = S.scan_secrets(_secret_docs(spark, sf_dir)).select("doc_id", "match").distinct()
+    found = S.label_secrets(found).where(S.is_valid_secret(F.col("rendered")))
     return found.select("doc_id", "label", "rendered").distinct().groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("n_docs"))
 
 
@@ -355,9 +356,9 @@ def display_truncate(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", H.shorten(u, 70).alias("shown"))
 
 
-@query("display_secret", f"{LABELLED} select distinct rendered, upper(label) || ': ' || case when length(v) > 50 then substr(v, 1, 47) || '...' else v end as shown from (select *, case when label = 'Unknown Secret' then match else ' ' || match end as v from labelled where not regexp_matches(rendered, '[^\\x00-\\x7F]'))")
+@query("display_secret", f"{LABELLED} select distinct rendered, upper(label) || ': ' || case when octet_length(encode(v)) > 50 then substr(v, 1, list_max(list_filter(range(0, 48), lambda n: octet_length(encode(substr(v, 1, n))) <= 47))) || '...' else v end as shown from (select *, case when label = 'Unknown Secret' then match else ' ' || match end as v from labelled)")
 def display_secret(spark, sf_dir):
-    found = S.label_secrets(S.scan_secrets(_secret_docs(spark, sf_dir))).where(~F.col("rendered").rlike(r"[^\x00-\x7F]"))
+    found = S.label_secrets(S.scan_secrets(_secret_docs(spark, sf_dir)))
     return found.select("rendered", H.format_secret(F.col("rendered")).alias("shown")).distinct()
 
 

@@ -172,7 +172,7 @@ def graph(spark):
     return spark.createDataFrame(rows, fetched.SCHEMA), seeds.from_urls(spark, ["https://h.ex/r.js", "https://h.ex/r.js", "ftp://x", "h.ex"])
 
 
-@pytest.mark.parametrize(("deep", "depth", "want"), [(False, 3, "r0"), (True, 1, "r0 a1 b1"), (True, 3, "r0 a1 b1 c2 d3")])
+@pytest.mark.parametrize(("deep", "depth", "want"), [(False, 3, "r0 r0"), (True, 1, "r0 a1 b1"), (True, 3, "r0 a1 b1 c2 d3")])
 def test_crawl(spark, deep, depth, want):
     fetches, start = graph(spark)
     out = crawl.crawl(start, fetches, deep, depth).collect()
@@ -244,3 +244,108 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("scanned").count() == 6
+
+
+def test_nothing_is_requested_or_read_in_vain(spark):
+    """Refused URLs are never requested, and bodies that an earlier test rejects are not read; both as the columns say."""
+    import http.server
+    import threading
+
+    from millrace.functions.url import has_blocked_extension, looks_binary
+    from millrace.operators import admission, crawl
+    from millrace.sources import fetched, seeds
+
+    asked, sent = [], []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            asked.append(self.path)
+            kind = {"/type": "video/mp4", "/load": "text/html"}.get(self.path, "text/html")
+            self.send_response(404 if self.path == "/none" else 200)
+            self.send_header("Content-Type", kind)
+            if self.path == "/load":
+                self.send_header("Content-Disposition", "attachment; filename=a.bin")
+            self.send_header("Content-Length", "100000000" if self.path == "/large" else "11")
+            self.end_headers()
+            sent.append(self.path)
+            self.wfile.write(b"'/api/data' ")
+
+        def log_message(self, *a):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    root = f"http://127.0.0.1:{server.server_address[1]}"
+    urls = [f"{root}{p}" for p in ("/ok", "/type", "/load", "/none", "/large", "/a.png", "/images/x", "/p?type=pdf")]
+    out = {r.url: r for r in crawl.crawl(seeds.from_urls(spark, urls), lambda f: fetched.http(f, timeout=5), deep=False).collect()}
+    server.shutdown()
+    assert sorted(asked) == ["/large", "/load", "/none", "/ok", "/type"]
+    assert out[urls[0]].paths == ["/api/data"] and out[urls[0]].content_size == 11 and out[urls[0]].duration.endswith("s") and "T" in out[urls[0]].scan_time
+    assert [out[u].skip_reason for u in urls[1:3]] == ["skipped: blacklisted content-type: video/mp4", "skipped: binary file download detected"]
+    assert out[urls[3]].error.startswith("HTTP 404") and out[urls[4]].skip_reason == "skipped: file too large"
+    assert {out[u].skipped for u in urls[5:]} == {True}
+    assert fetched._get("file:///etc/hostname", {}, 1, 10)[5:7] == (None, "unsupported protocol scheme")
+    cases = ["https://h/a.PNG/", "https://h/a.tar.gz?x=/y.html", "https://h/a.png#x", "https://h/fonts/a", "data:image/x", "https://h/x?OUTPUT=binary", "https://h/.b/c", "https://h/", "https://h/a.js"]
+    got = spark.createDataFrame([(u,) for u in cases], "url string").select((has_blocked_extension(F.col("url")) | looks_binary(F.col("url"))).alias("r")).collect()
+    assert [r.r for r in got] == [fetched.refused(u) for u in cases]
+    heads = [(200, "text/html; x", "", "5"), (200, " image/png", None, None), (404, "", "", ""), (200, None, "Attachment; a.bin", None), (200, "text/x", "attachment; filename=a.txt", "99999999"), (200, "x/y", "", "100000000")]
+    c = F.col
+    frame = spark.createDataFrame([("https://h/x", *h) for h in heads], "url string, status int, t string, d string, l string")
+    want = frame.select((admission.skip_reason(c("url"), c("status"), c("t"), c("d"), c("l"), F.lit("text")).isNull() & (c("status") == 200)).alias("w")).collect()
+    assert [r.w for r in want] == [fetched.wants_body(*h) for h in heads]
+
+
+def test_crawl_leaves_bodies_where_they_are(spark, monkeypatch):
+    """No exchange of a level has the body, several rows of a URL give one result, and repeated seeds stay without depth."""
+    from millrace.operators import crawl
+    from millrace.sources import fetched, seeds
+
+    table = spark.createDataFrame([("https://h/a.js", "'/b.js'"), ("https://h/b.js", "'/c.js' '/x'"), ("https://h/b.js", "'/c.js' '/x'")], "u string, t string")
+    plans, cut = [], crawl.cut
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString() + df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(crawl, "cut", seen)
+    start = seeds.from_urls(spark, ["https://h/a.js", "https://h/a.js"])
+    out = crawl.crawl(start, fetched.from_table(table, "u", "t")).collect()
+    assert sorted((r.url, r.depth, r.error) for r in out) == [("https://h/a.js", 0, ""), ("https://h/b.js", 1, ""), ("https://h/c.js", 2, "not fetched")]
+    for plan in plans:
+        for line in plan.split("\n"):
+            assert "Exchange hashpartitioning" not in line or "body" not in line
+    assert any("BroadcastHashJoin" in p for p in plans)
+    flat = crawl.crawl(start, fetched.from_table(table, "u", "t"), deep=False).collect()
+    assert [r.url for r in flat] == ["https://h/a.js"] * 2
+
+
+def test_reports_have_times_sizes_and_masked_headers(spark):
+    import json
+
+    from millrace.operators import report, scan
+    from millrace.sources import fetched
+
+    got = scan.scan_fetched(fetched.from_table(spark.createDataFrame([("https://h/a", "'/api/x' " + "y " * 700)], "u string, t string"), "u", "t"))
+    text = report.console_report(got, headers={"Accept": "text/html", "Authorization": "Bearer abcdefgh", "X-Token": "short"})
+    assert "  size: 1.4KB" in text and "  Accept: text/html" in text and "  Authorization: Bear*******efgh" in text and "  X-Token: *****" in text
+    out = json.loads(report.json_report(got))
+    assert "T" in out["scan_date"] and "T" in out["results"][0]["scan_time"] and "duration" in out["results"][0]
+
+
+def test_keyword_rules_take_linear_time(spark):
+    """A line of a megabyte of separators and values that never make a match; and equal matches to the plain pattern."""
+    import random
+    import re
+    import time
+
+    from millrace.operators import rules, secrets
+
+    lines = ["api_key" + "=" * 1_000_000, "api_key" + "w=" * 3 + "= :" * 300_000, "api_key" + " :" * 500_000]
+    start = time.perf_counter()
+    out = secrets.scan_secrets(spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, content string")).collect()
+    assert time.perf_counter() - start < 60 and {r.i for r in out} == {1}
+    rng = random.Random(8)
+    texts = ["api_key" + "".join(rng.choice(["=", ":", " ", "w", "-", "\\", "x", "S", "\n", '"', "'"]) for _ in range(rng.randrange(14))) for _ in range(3000)]
+    slow, fast = (re.compile(rules.keyword_pattern("api~key", "compat", linear)) for linear in (False, True))
+    for t in texts:
+        assert [m.span() for m in slow.finditer(t)] == [m.span() for m in fast.finditer(t)]
