@@ -1,19 +1,21 @@
 """Licence scan: TF-IDF cosine of headers and licence files to templates, then inheritance from the nearest ancestor directory.
 
-A file's headers are its sentences or lines with a licence word; a licence file
-(LICENSE, COPYING, NOTICE and the like) gives its whole text as one more. Headers
+A file's headers are its sentences or lines with a licence phrase, and its runs of adjoining comment lines that have one; a
+licence file (LICENSE, COPYING, NOTICE and the like) gives its paragraphs and its whole text besides. Headers
 become sparse vectors of word counts times the inverse document frequency among the
-templates, are joined with the template vectors by word, and take the template with the
-largest cosine. A file without a licence of its own inherits that of the licence file
+templates (``licences.txt``), are joined with the template vectors by word, and take the template with the
+largest cosine. An SPDX identifier is read as it stands, before all of them, without "-only", "-or-later" or "+". A reservation of
+all rights counts only where no licence is near. A file without a licence of its own inherits that of the licence file
 in the nearest directory above it, found by joining the paths' ancestors. Only headers,
 which are few, leave the row they stand in; texts are never shuffled.
 
 Defined results
 ---------------
-* null or empty text, or no licence word: no licence of its own.
+* null or empty text, or no licence phrase: no licence of its own.
 * null path: no licence at all. Rows with equal path are one file and get one answer, each.
-* ties: the template first in the alphabet; of several licence files in a directory the one with the larger cosine, then the first licence.
-* empty table: empty result. Further columns are passed over.
+* very long texts: split in the row; of a licence file all words are shuffled, counted first.
+* ties: the identifier or template first in the alphabet; of several licence files in a directory the one with the larger cosine, then the first licence.
+* empty table: empty result. Further columns, whatever their names, are passed over.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,34 +33,25 @@ from .common import require, written
 THRESHOLD = 0.6
 #: Directories with a licence file up to which they are broadcast (about 80 bytes each).
 BROADCAST_ROWS = 200_000
-TRIGGER = r"(?i)licen[cs]e|copyright|spdx|public domain|all rights reserved"
+TRIGGER = r"(?i)licen[cs]e|copyright|spdx|public domain|all rights reserved|permission is hereby granted|redistribution and use"
 PASSAGES = r"[.!?;][\x20\x09-\x0D]+|\n"
+PARAGRAPHS = r"\n[\x20\x09\x0D]*\n"
+#: A comment line, and its mark.
+COMMENT = r"^[\x20\x09]*(//|#|/\*|\*|--|;|%|<!--)[/#*;%!\x20\x09-]*"
 WORD = r"[^a-z0-9]+"
+SPDX = r"SPDX-License-Identifier:[\x20\x09]*\(?[\x20\x09]*([A-Za-z0-9.+-]+)"
+SPDX_TAIL = r"(-only|-or-later|\+)$"
 LICENSE_FILE = r"(?i)^(licen[cs]e|copying|notice|copyright|unlicense)([._-].*)?$"
+RESERVED = "proprietary"
 
-# Usual notices of public licences.
-TEMPLATES = [
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
-    ("MIT", "Released under the MIT License"),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("MIT", "SPDX-License-Identifier: MIT"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
-    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-or-later"),
-    ("GPL-2.0", "This program is licensed under the GNU General Public License, version 2"),
-    ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3"),
-    ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3"),
-    ("BSD-3-Clause", "Use of this source code is governed by a BSD style license"),
-    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0"),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0"),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
-    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
-    ("CC0-1.0", "To the extent possible under law, the author has dedicated this work to the public domain, CC0 1.0"),
-    ("proprietary", "Copyright, all rights reserved"),
-]
+
+def read_templates(path: Path = Path(__file__).with_name("licences.txt")) -> list[tuple[str, str]]:
+    """(licence, text) of each template of a file."""
+    parts = re.split(r"(?m)^== (\S+)\n", path.read_text(encoding="utf-8"))
+    return [(name, " ".join(text.split())) for name, text in zip(parts[1::2], parts[2::2], strict=True)]
+
+
+TEMPLATES = read_templates()
 
 
 def template_terms(templates: list[tuple[str, str]] | None = None) -> tuple[list[tuple[str, int, float, float]], float]:
@@ -77,17 +71,32 @@ def _name(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
 
+def passages_of(text: Column, is_license_file: Column) -> Column:
+    """The distinct headers of a text."""
+    none = F.array().cast("array<string>")
+    sentences = F.split(text, PASSAGES)
+    # lines that are no comment part the runs of those that are
+    marked = F.transform(F.split(text, "\n"), lambda x: F.when(x.rlike(COMMENT), F.concat(F.lit(" "), F.regexp_replace(x, COMMENT, ""))).otherwise(F.lit("\x00")))
+    runs = F.when(text.rlike("(?m)" + COMMENT), F.split(F.array_join(marked, ""), "\x00")).otherwise(none)
+    parts = F.filter(F.concat(sentences, runs, F.when(is_license_file, F.split(text, PARAGRAPHS)).otherwise(none)), lambda p: p.rlike(TRIGGER))
+    return F.array_distinct(F.concat(F.when(text.rlike(TRIGGER), parts).otherwise(none), F.when(is_license_file, F.array(text)).otherwise(none)))
+
+
+def _rank(license_: Column) -> Column:
+    return F.when(license_ == RESERVED, 2).otherwise(1)
+
+
 def own_licenses(files: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """(path, license, score) of the files with a header or whole licence text near a template."""
+    """(path, license, score) of the files with an SPDX identifier, or a header or whole licence text near a template."""
     chosen = templates or TEMPLATES
     terms, unknown = template_terms(chosen)
     spark = files.sparkSession
     vectors = F.broadcast(spark.createDataFrame(terms, "word string, template int, idf double, weight double"))
     names = F.array(*[F.lit(n) for n, _ in chosen])
     text = F.coalesce(F.col("text"), F.lit(""))
-    headers = F.filter(F.split(text, PASSAGES), lambda p: p.rlike(TRIGGER))
-    whole = F.when(_name(F.col("path")).rlike(LICENSE_FILE), F.array(text)).otherwise(F.array().cast("array<string>"))
-    passages = files.where(F.col("path").isNotNull()).select("path", F.explode(F.array_distinct(F.concat(headers, whole))).alias("passage"))
+    named = files.where(F.col("path").isNotNull())
+    tags = named.select("path", F.explode(F.regexp_extract_all(text, F.lit(SPDX), F.lit(1))).alias("id")).select("path", F.lit(1.0).alias("score"), F.regexp_replace("id", SPDX_TAIL, "").alias("license"), F.lit(0).alias("rank"))
+    passages = named.select("path", F.explode(passages_of(text, _name(F.col("path")).rlike(LICENSE_FILE))).alias("passage"))
     counts = passages.select("path", "passage", F.explode(F.split(F.lower("passage"), WORD)).alias("word")).where("word != ''")
     # the passage itself is the key: its hash stands for it, as it may be long
     bag = counts.groupBy("path", F.xxhash64("passage").alias("passage"), "word").agg(F.count(F.lit(1)).alias("tf"))
@@ -96,7 +105,8 @@ def own_licenses(files: DataFrame, templates: list[tuple[str, str]] | None = Non
     sized = bag.join(known, "word", "left").groupBy("path", "passage").agg(F.sqrt(F.sum(F.pow(F.col("tf") * idf, F.lit(2.0)))).alias("size"))
     dots = bag.join(vectors, "word").groupBy("path", "passage", "template").agg(F.sum(F.col("tf") * F.col("idf") * F.col("weight")).alias("dot"))
     near = dots.join(sized, ["path", "passage"]).select("path", F.round(F.col("dot") / F.col("size"), 6).alias("score"), F.element_at(names, F.col("template") + 1).alias("license")).where(F.col("score") >= threshold)
-    best = near.groupBy("path").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("license").alias("l"))).alias("b"))
+    every = near.withColumn("rank", _rank(F.col("license"))).unionByName(tags)
+    best = every.groupBy("path").agg(F.min(F.struct("rank", (-F.col("score")).alias("s"), F.col("license").alias("l"))).alias("b"))
     return best.select("path", F.col("b.l").alias("license"), (-F.col("b.s")).alias("score"))
 
 
@@ -105,7 +115,7 @@ def scan_licenses(files: DataFrame, templates: list[tuple[str, str]] | None = No
     require(files, "path", "text")
     own = written(own_licenses(files.select("path", "text"), templates, threshold), "licenses")
     parent = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
-    above = own.where(_name(F.col("path")).rlike(LICENSE_FILE)).groupBy(parent.alias("dir")).agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("license").alias("l"))).alias("b")).select("dir", F.col("b.l").alias("dir_license"))
+    above = own.where(_name(F.col("path")).rlike(LICENSE_FILE)).groupBy(parent.alias("dir")).agg(F.min(F.struct(_rank(F.col("license")).alias("r"), (-F.col("score")).alias("s"), F.col("license").alias("l"))).alias("b")).select("dir", F.col("b.l").alias("dir_license"))
     above = written(above, "license-dirs")
     if above.count() <= BROADCAST_ROWS:
         above = F.broadcast(above)

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from .common import table
-from .licenses import LICENSE_FILE, PASSAGES, TEMPLATES, THRESHOLD, TRIGGER, WORD, scan_licenses, template_terms
+from .licenses import COMMENT, LICENSE_FILE, PARAGRAPHS, PASSAGES, RESERVED, SPDX, SPDX_TAIL, TEMPLATES, THRESHOLD, TRIGGER, WORD, scan_licenses, template_terms
 
 #: The documents have no paths: each twentieth is taken as its directory's licence file, the others as its texts.
 PATH = "concat(source, '/', cast(floor(doc_id / 400) as bigint), '/', case when doc_id % 400 = 0 then '' else concat(cast(floor(doc_id / 20) as bigint), '/') end, case when doc_id % 20 = 0 then concat('LICENSE.', doc_id) else concat(doc_id, '.txt') end)"
@@ -26,11 +26,15 @@ def _oracle() -> str:
     return rf"""
 with terms(word, template, idf, weight) as (values {values}),
 files as (select doc_id, text, {path} as path from documents),
+named as (select path, coalesce(text, '') as t, regexp_matches(split_part(path, '/', -1), '{LICENSE_FILE}') as whole from files),
 passages as (
   select distinct path, passage from (
-    select path, unnest(list_filter(regexp_split_to_array(coalesce(text, ''), '{PASSAGES}'), lambda p: regexp_matches(p, '{TRIGGER}'))) as passage from files
+    select path, unnest(list_filter(
+      regexp_split_to_array(t, '{PASSAGES}')
+      || regexp_split_to_array(list_aggregate(list_transform(string_split(t, chr(10)), lambda x: case when regexp_matches(x, '{COMMENT}') then ' ' || regexp_replace(x, '{COMMENT}', '') else chr(1) end), 'string_agg', ''), chr(1))
+      || case when whole then regexp_split_to_array(t, '{PARAGRAPHS}') else []::varchar[] end, lambda p: regexp_matches(p, '{TRIGGER}'))) as passage from named
     union all
-    select path, coalesce(text, '') from files where regexp_matches(split_part(path, '/', -1), '{LICENSE_FILE}')
+    select path, t from named where whole
   )
 ), bag as (
   select path, passage, word, count(*) as tf from (select path, passage, unnest(regexp_split_to_array(lower(passage), '{WORD}')) as word from passages) where word <> '' group by all
@@ -41,10 +45,14 @@ passages as (
 ), near as (
   select path, round(dot / size, 6) as score, ([{names}])[template + 1] as license from dots join sized using (path, passage)
 ), own as (
-  select path, license, score from near where score >= {THRESHOLD} qualify row_number() over (partition by path order by score desc, license) = 1
+  select path, license, score from (
+    select path, license, score, case when license = '{RESERVED}' then 2 else 1 end as rank from near where score >= {THRESHOLD}
+    union all
+    select path, regexp_replace(id, '{SPDX_TAIL}', ''), 1.0, 0 from (select path, unnest(regexp_extract_all(t, '{SPDX}', 1)) as id from named)
+  ) qualify row_number() over (partition by path order by rank, score desc, license) = 1
 ), dirs as (
   select dir, license as dir_license from (select regexp_extract(path, '^(.*)/[^/]*$', 1) as dir, * from own where regexp_matches(split_part(path, '/', -1), '{LICENSE_FILE}'))
-  qualify row_number() over (partition by dir order by score desc, license) = 1
+  qualify row_number() over (partition by dir order by license = '{RESERVED}', score desc, license) = 1
 ), nearest as (
   select path, dir, dir_license from (
     select path, unnest(list_transform(range(0, len(string_split(path, '/'))), lambda k: array_to_string(string_split(path, '/')[1:k], '/'))) as dir from files where path not in (select path from own)

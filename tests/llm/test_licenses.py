@@ -1,4 +1,5 @@
 import math
+import textwrap
 from collections import Counter
 
 import pytest
@@ -53,6 +54,33 @@ def test_cosine_against_plain(spark, monkeypatch):
     test_scan(spark)
 
 
+TEXT = {n: t for n, t in L.TEMPLATES}
+WRAP = lambda text, mark="", width=60: "\n".join(mark + line for line in textwrap.wrap(text, width))
+GPL = [t for n, t in L.TEMPLATES if n == "GPL-3.0"][1]
+CASES = [
+    ("LICENSE", "BSD 3-Clause License\n\nCopyright (c) 2020, A. Person\nAll rights reserved.\n\n" + WRAP([t for n, t in L.TEMPLATES if n == "BSD-3-Clause"][0]), "BSD-3-Clause"),
+    ("LICENSE", "Copyright (c) 2020, A. Person\nAll rights reserved.\n\n" + WRAP(TEXT["BSD-2-Clause"]), "BSD-2-Clause"),
+    ("x.go", "// Copyright 2009 The Authors. All rights reserved.\n// Use of this source code is governed by a BSD-style\n// license that can be found in the LICENSE file.\npackage x", "BSD-3-Clause"),
+    ("x.c", "/* SPDX-License-Identifier: AGPL-3.0 */", "AGPL-3.0"),
+    ("x.java", "// SPDX-License-Identifier: EPL-2.0\n// all rights reserved", "EPL-2.0"),
+    ("x.c", "# SPDX-License-Identifier: BSD-2-Clause", "BSD-2-Clause"),
+    ("x.c", "-- SPDX-License-Identifier: (GPL-2.0-or-later OR MIT)", "GPL-2.0"),
+    ("x.java", " * " + "Licensed under the Eclipse Public License", "EPL-2.0"),
+    ("LICENSE", "Copyright (c) 2021 A\n\n" + WRAP([t for n, t in L.TEMPLATES if n == "MIT"][2]), "MIT"),
+    ("x.py", WRAP(GPL, "# ") + "\nimport os", "GPL-3.0"),
+    ("x.c", "/*\n" + WRAP([t for n, t in L.TEMPLATES if n == "GPL-2.0"][1], " * ") + "\n */\nint x;", "GPL-2.0"),
+    ("x.js", "/*!\n" + WRAP([t for n, t in L.TEMPLATES if n == "Apache-2.0"][1], " * ") + "\n */", "Apache-2.0"),
+    ("x.txt", "Copyright 2020. All rights reserved.", "proprietary"),
+    ("x.txt", "a driving licence is not what this is about, as its reader knows", None),
+]
+
+
+def test_usual_headers_and_texts(spark):
+    rows = [(f"d{i}/{name}", text) for i, (name, text, _) in enumerate(CASES)]
+    got = {r.path: r.own_license for r in L.scan_licenses(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert [got[p] for p, _ in rows] == [want for _, _, want in CASES]
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "path string, text string")
     assert L.scan_licenses(none).count() == 0
