@@ -16,8 +16,10 @@ Defined results
 * no learned language at all (empty table, no lang): ``und``, score 0.
 * a null lang, or a null doc_id, is never learned from; a null doc_id is held out
   nowhere: its held_out is false.
+* very long texts: counted whole; a task holds about 40 bytes for each character of its longest text, and its distinct trigrams.
 * ties go to the language that comes first in the alphabet. Repeated rows get equal
-  answers, each its own. Further columns are passed over.
+  answers, each its own. Further columns, whatever their names, are passed over.
+  The languages are few by nature; each is a literal of the plan.
 """
 
 from __future__ import annotations

@@ -14,9 +14,12 @@ Defined results
 * records with equal payloads of at least ``revisit_bytes`` bytes: that with the largest
   page_id is a response, others revisit it; rows that repeat that page_id are responses too.
 * null page_id: always a response, read back as null.
-* empty table: no package, no record. Further columns are passed over.
+* repeated page_ids: a record each, and as the id of a record follows from the page_id, ids repeat with it.
+* very long payloads: a record is held whole, as bytes and compressed, by the task that writes and the one that reads it.
+* ties: rows with the largest page_id of equal payloads are all responses.
+* empty table: no package, no record. Further columns, whatever their names, are passed over.
 * a member that is compressed or encrypted, a directory that runs over the file and a
-  record that is cut off raise ValueError.
+  record or ZIP64 field that is cut off raise ValueError.
 """
 
 from __future__ import annotations
@@ -123,6 +126,8 @@ def _wide(extra: bytes, sizes: list[int]) -> list[int]:
             field, k = extra[at + 4 : at + 4 + n], 0
             for i, v in enumerate(sizes):
                 if v == 0xFFFFFFFF:
+                    if len(field) < k + 8:
+                        raise ValueError("a ZIP64 extra field is cut off")
                     (sizes[i],) = struct.unpack_from("<Q", field, k)
                     k += 8
             break
@@ -322,8 +327,10 @@ def resolved(records: DataFrame) -> DataFrame:
     full = own.where("record_type = 'response'").join(referred, F.col("page_id") == F.col("_to"), "left_semi").groupBy(F.col("page_id").alias("refers_to")).agg(F.first("payload_bytes").alias("b"), F.first("payload_digest").alias("d"))
     full = written(full, "referred")
     if full.count() <= BROADCAST_ROWS:
-        full = F.broadcast(full)
-    both = own.join(full, "refers_to", "left")
+        both = own.join(F.broadcast(full), "refers_to", "left")
+    else:  # one payload may have a third of all revisits
+        salted = full.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
+        both = own.withColumn("salt", F.pmod(F.hash("page_id"), F.lit(16))).join(salted, ["refers_to", "salt"], "left")
     revisit = F.col("record_type") == "revisit"
     return both.select("page_id", F.when(revisit, F.col("b")).otherwise(F.col("payload_bytes")).alias("payload_bytes"), F.when(revisit, F.col("d")).otherwise(F.col("payload_digest")).alias("payload_digest"), "record_type", "refers_to")
 

@@ -47,3 +47,32 @@ def test_bundle_against_plain_sums():
 def test_nothing_learned(docs):
     assert L.language_id(docs([])).count() == 0
     assert {(r.lang_pred, r.score) for r in L.language_id(docs([(1, "abc", None, "s"), (2, "abc", None, "s")])).collect()} == {("und", 0.0)}
+
+
+def test_query_against_brute_force(docs):
+    """Learning, prototypes, cosines and scores of the whole operator, by sums over trigrams in plain Python."""
+    table = [r for r in rows(120)] + [(500, "kalo schung", None, "s"), (501, "ei ção 3", "bb", "s")]
+    out = {r.doc_id: r for r in L.language_id(docs(table), dims=64, per_lang=10**6).collect()}
+    letters = L.Letters(64)
+
+    def vector(text):
+        codes = letters.encode(text)
+        return sum((np.roll(letters.vectors[a], 2).astype(float) * np.roll(letters.vectors[b], 1) * letters.vectors[c] for a, b, c in zip(codes, codes[1:], codes[2:], strict=False)), np.zeros(64))
+
+    unit = lambda v: v / np.linalg.norm(v)
+    learned = [(k, unit(vector(t))) for i, t, k, _ in table if k and zlib.crc32(str(i).encode()) % 3 != 1]
+    langs = sorted({k for k, _ in learned})
+    prototypes = np.stack([unit(sum(v for k, v in learned if k == lang)) for lang in langs])
+    common = prototypes.mean(axis=0)
+    own = np.stack([unit(p - common) for p in prototypes])
+    for i, t, _, _ in table:
+        cosine = own @ unit(unit(vector(t)) - common)
+        e = np.exp(L.SHARP * (cosine - cosine.max()))
+        assert out[i].lang_pred == langs[int(cosine.argmax())] and abs(out[i].score - e.max() / e.sum()) < 1e-3
+
+
+def test_long_text():
+    letters = L.Letters(32)
+    text = "ab cd " * 200_000
+    got, one = letters.bundle([text])[0], letters.bundle(["ab cd ab cd "])[0] - letters.bundle(["ab cd "])[0]
+    assert np.allclose(got, letters.bundle(["ab cd "])[0] + 199_999 * one, rtol=1e-5)

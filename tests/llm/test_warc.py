@@ -68,3 +68,11 @@ def test_damage(tmp_path):
 
 def test_empty(spark, tmp_path):
     assert W.round_trip(pages(spark)[1].limit(0), f"file://{tmp_path}/w").count() == 0
+
+
+def test_cut_off_zip64_field():
+    import struct
+
+    with pytest.raises(ValueError):
+        W._wide(struct.pack("<HHI", 1, 4, 7), [0xFFFFFFFF, 5, 5])
+    assert W._wide(struct.pack("<HHQ", 1, 8, 7), [0xFFFFFFFF, 5, 5]) == [7, 5, 5]
