@@ -45,15 +45,15 @@ from .langid import held_out
 #: Toxic texts that weights are learned from, and toxic examples (of both, three times as many clean ones).
 PER_CLASS, EXAMPLES = 4000, 500
 NEIGHBOURS = 15
-BLOCK = 32
+BLOCK = 64
 #: Lengths of the word beginnings that may be terms.
 BEGINNINGS = (4, 5, 6, 7, 8)
 #: Steepness of the weights, and how many standard errors a term's evidence must stand out by.
 STRESS, DOUBT = 0.1, 2.0
 #: A term that one in so many examples has is kept as a whole row.
-COMMON = 16
-#: Blocks that are opened first; then twice as many in each step.
-OPEN = 4
+COMMON = 64
+#: Blocks that are opened first; then eight times as many in each step.
+OPEN = 8
 WORD = re.compile(r"\w+")
 
 
@@ -85,6 +85,7 @@ class Space:
         self.ids = {t: i for i, t in enumerate(seen)}
         self.rare = math.log(1 + len(rows))
         self.scale = np.array([math.log(1 + len(rows) / n) * self.weights.get(t, 1.0) for t, n in seen.items()])
+        self.loud = {t: w for t, w in self.weights.items() if t not in self.ids}
         self.rows = [self.vector(r, counted=True) for r in counted]
 
     def terms(self, words: dict[str, int]) -> dict[str, int]:
@@ -105,17 +106,19 @@ class Space:
     def vector(self, words: dict[str, int], counted: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Term numbers and weights of a unit vector, without the terms that no example has."""
         terms = words if counted else self.terms(words)
-        ids = self.ids
-        known = [(ids[t], n) for t, n in terms.items() if t in ids]
-        other = 0.0
-        if len(known) < len(terms):
-            get, log = self.weights.get, math.log
-            other = self.rare**2 * sum((get(t, 1.0) if n == 1 else (1 + log(n)) * get(t, 1.0)) ** 2 for t, n in terms.items() if t not in ids)
-        if not known:
+        if not terms:
             return np.empty(0, np.int64), np.empty(0)
-        at, n = np.array([i for i, _ in known]), np.array([n for _, n in known], dtype=float)
-        raw = (1 + np.log(n)) * self.scale[at]
-        return at, raw / math.sqrt(float(raw @ raw) + other)
+        get = self.ids.get
+        at = np.array([get(t, -1) for t in terms])
+        tf = 1 + np.log(np.fromiter(terms.values(), dtype=float, count=len(terms)))
+        known = at >= 0
+        other = tf[~known] * self.rare
+        if self.loud and len(other):
+            other = other * np.array([self.loud.get(t, 1.0) for t in terms if t not in self.ids])
+        at = at[known]
+        raw = tf[known] * self.scale[at]
+        size = math.sqrt(float(raw @ raw) + float(other @ other))
+        return at, raw / size if size else raw
 
 
 def _ranges(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
@@ -184,7 +187,7 @@ class BlockMaxIndex:
                 score[skip] = 0
             if self.n > k:
                 least = float(np.partition(score, -k)[-k])
-            at, step = at + step, 2 * step
+            at, step = at + step, 8 * step
         found = np.flatnonzero(score > max(0.0, least - 1e-8))
         best = found[np.lexsort((self.rank[found], -np.round(score[found], 9)))[:k]]
         return [(int(i), float(score[i])) for i in best]
