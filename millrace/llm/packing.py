@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import store
+from .common import trim
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the split pattern that belongs to the byte-level BPE vocabulary.
@@ -187,6 +188,8 @@ def packed(docs: DataFrame, length: int = LENGTH, vocabulary: str = VOCABULARY,
         for at in range(0, len(empty), 10_000):
             listed = [{"doc_id": p[0], "piece": 0, "start": 0, "length": 0} for p in empty[at : at + 10_000]]
             yield pd.DataFrame({"shard": [f"{part:06d}-{block:05d}"], "row": pd.array([None], dtype="Int32"), "ids": [None], "cu_seqlens": [None], "pieces": [listed]})
+        del encode
+        trim()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, SCHEMA)
 
@@ -247,6 +250,7 @@ def write_rows(rows: DataFrame, folder: str, length: int = LENGTH, pad_id: int =
                     placed = [{"doc_id": p["doc_id"], "piece": p["piece"], "start": p["start"], "offset": int(cu[k]) if held else None, "length": p["length"]} for k, p in enumerate(pieces)]
                     out.append((name if held else None, int(row) - first if held else None, placed))
                 yield pd.DataFrame(out, columns=["shard", "row", "pieces"]).astype({"row": "Int64"})
+        trim()
 
     return rows.mapInPandas(run, "shard string, row bigint, pieces array<struct<doc_id:bigint,piece:int,start:bigint,offset:bigint,length:int>>")
 
