@@ -49,5 +49,9 @@ def format_secret(rendered: Column) -> Column:
 
 
 def format_size(n: Column) -> Column:
-    """Bytes as B, KB or MB with one digit."""
-    return F.when(n > 1024 * 1024, F.format_string("%.1fMB", n / (1024 * 1024))).when(n > 1024, F.format_string("%.1fKB", n / 1024)).otherwise(F.concat(n.cast("string"), F.lit("B")))
+    """Bytes as B, KB or MB with one digit, halves to the even digit: ``format_string`` alone would round them up."""
+
+    def shown(unit: int, name: str) -> Column:
+        return F.format_string(f"%.1f{name}", F.bround(n / unit, 1))
+
+    return F.when(n > 1024 * 1024, shown(1024 * 1024, "MB")).when(n > 1024, shown(1024, "KB")).otherwise(F.concat(n.cast("string"), F.lit("B")))

@@ -166,6 +166,12 @@ def test_headers_and_display(spark):
     assert each(spark, ["api:  " + "v" * 60, "no colon"], H.format_secret) == ["API:  " + "v" * 46 + "...", "no colon"]
 
 
+def test_sizes_round_halves_to_even(spark):
+    k, m = 1024, 1024 * 1024
+    sizes = [k + k // 4, k + 3 * k // 4, 21 * k + k // 4, m + m // 4, m + 3 * m // 4, m + m // 4 + 1]
+    assert each(spark, sizes, H.format_size, "bigint") == ["1.2KB", "1.8KB", "21.2KB", "1.2MB", "1.8MB", "1.3MB"]
+
+
 def graph(spark):
     links = {"r": ["/a.js", "/b.js"], "a": ["/c.js"], "b": ["/c.js", "/r.js"], "c": ["/d.js"], "d": ["/e.js"], "e": []}
     rows = [(f"https://h.ex/{k}.js", 200, None, None, None, bytearray(" ".join(f'"{p}"' for p in v).encode()), "") for k, v in links.items()]
